@@ -105,7 +105,7 @@ def read_gml(spark: SparkSession, path: str, feature: str, schema: str, geometry
 
     The geometry element is taken from the file's text and becomes WKT.
     """
-    rows = spark.read.format("xml").option("rowTag", feature).option("ignoreNamespace", "true").schema(schema).load(path)
+    rows = spark.read.format("xml").option("rowTag", feature.split(":")[-1]).option("ignoreNamespace", "true").schema(schema).load(path)
     if not geometry:
         return rows
     local = feature.split(":")[-1]

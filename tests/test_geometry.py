@@ -70,7 +70,7 @@ def test_tiles(tmp_path):
     kind, rings = tiles.tile_geometry(wkt.parse("POLYGON((-100 -100,100 -100,100 100,-100 100,-100 -100))"), (0, 0, 10, 10))
     assert kind == "MultiPolygon" and wkt.bbox((kind, rings)) == (-128, -128, 4224, 4224)
     assert tiles.join_lines([[[0, 0], [1, 0]], [[2, 0], [1, 0]]]) == [[[0, 0], [1, 0], [2, 0]]]
-    assert tiles.encode_layer("a", [(1, ("MultiPoint", [[25, 17]]), {"k": "v"})]) == bytes.fromhex("1a21 7802 0a01 61 120d 0801 1202 0000 1801 2203 09 32 22 1a01 6b 2203 0a01 76 2880 20".replace(" ", ""))
+    assert tiles.encode_layer("a", [(1, ("MultiPoint", [[25, 17]]), {"k": "v"})]) == bytes.fromhex("1a1f 7802 0a01 61 120d 0801 1202 0000 1801 2203 09 32 22 1a01 6b 2203 0a01 76 2880 20".replace(" ", ""))
 
 
 def test_source_paths():
