@@ -10,7 +10,8 @@
    full shingle sets decide.
 3. Buckets whose members now lie in one component need nothing more. In the
    others, the pairs of members of different components that the star left out
-   are tested likewise, so no candidate link between components is skipped.
+   are tested likewise, block against block, so no candidate link between
+   components is skipped; what a task returns are links, never pairs.
 
 A pair of similarity 0.85 shares no band with probability below 1e-5, and its
 estimate falls under the cut-off with probability below 1e-5.
@@ -42,8 +43,8 @@ PERMUTATIONS, BITS, BANDS, BAND_ROWS = 128, 4, 20, 5
 #: Similarity that a link needs, in hundredths, and how far below it an estimate may lie.
 LINK_PERCENT, ESTIMATE_SLACK = 85, 0.15
 WORDS = 5
-#: Members of one head that one task confirms.
-CHUNK = 64
+#: Members of one head that one task confirms, and members of a block of a bucket.
+CHUNK, BLOCK = 64, 256
 
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 32, (3, PERMUTATIONS), np.uint32) | np.uint32(1)
 _GRAM = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(64)]
@@ -199,6 +200,89 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, percent:
     return links
 
 
+def confirm_within(rows: DataFrame, docs: DataFrame, text: str, doc_id: str, percent: int, size: int) -> DataFrame:
+    """Links (x, y) between members of different components of one bucket that their star left out.
+
+    ``rows`` (materialised): bucket, size (of the bucket), head, rep, component, n, sig, bands. A
+    bucket is dealt to tasks in pairs of blocks of about ``BLOCK`` members. A task estimates all pairs of
+    its blocks on the packed signatures and tests the likely ones on the full sets, likeliest first,
+    but for those connected meanwhile; it returns links only. A pair is tested in its first common band.
+    """
+    ids = materialise(rows.select(F.col("rep").alias("id")).distinct(), "ids")
+    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = materialise(semi_join(own, ids, "id").dropDuplicates(["id"]).withColumnRenamed("id", "rep"), "texts")
+    dealt = rows.withColumn("parts", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts, "rep")
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "block", "head", "component", "n", "sig", "bands", "text")
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (now := (row["bucket"], row["i"], row["j"])) != key:
+                    if held:
+                        yield _links(held, percent, size)
+                    key, held = now, []
+                held.append(row)
+        if held:
+            yield _links(held, percent, size)
+
+    return materialise(dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep").mapInArrow(run, "x long, y long"), "links")
+
+
+def _links(rows: list[dict], percent: int, size: int) -> pa.RecordBatch:
+    """See :func:`confirm_within`; the rows of one pair of blocks."""
+    rep, block, n = (np.array([r[k] for r in rows]) for k in ("rep", "block", "n"))
+    sig, bands = np.array([r["sig"] for r in rows]).view(np.uint64), np.array([r["bands"] for r in rows])
+    bucket, across = rows[0]["bucket"], rows[0]["i"] != rows[0]["j"]
+    component, head = np.array([r["component"] for r in rows]), rows[0]["head"]
+    chance, fold, likely = 1 / (1 << BITS), np.uint64(int(("0" * (BITS - 1) + "1") * (64 // BITS), 2)), []
+    for a in range(len(rows) - 1):
+        if rep[a] == head:
+            continue
+        later = slice(a + 1, None)
+        x = sig[later] ^ sig[a]
+        y = x.copy()
+        for k in range(1, BITS):
+            y |= x >> np.uint64(k)
+        different = np.bitwise_count(y & fold).sum(1, dtype=np.int64)
+        estimate = (1 - different / PERMUTATIONS - chance) / (1 - chance)
+        ok = (estimate >= percent / 100 - ESTIMATE_SLACK) & (component[later] != component[a]) & (rep[later] != head)
+        ok &= (np.minimum(n[later], n[a]) * 100 >= np.maximum(n[later], n[a]) * percent) & ((block[later] != block[a]) | (not across))
+        if ok.any():
+            at = np.flatnonzero(ok)
+            first = (bands[at + a + 1] == bands[a]).argmax(1)
+            at = at[bands[a][first] == bucket]
+            likely += [(-estimate[k], a, int(k) + a + 1) for k in at]
+    likely.sort()
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.get(c, c) != c:
+            c = up[c] = up.get(up[c], up[c])
+        return c
+
+    sets: dict[int, np.ndarray] = {}
+
+    def shingles(k: int) -> np.ndarray:
+        if k not in sets:
+            raw, offsets = text_buffers(pa.array([rows[k]["text"]], pa.string()))
+            sets[k] = shingle_sets(raw, offsets, size)[0]
+        return sets[k]
+
+    found = []
+    for _, a, b in likely:
+        ca, cb = root(int(component[a])), root(int(component[b]))
+        if ca == cb:
+            continue
+        s, t = shingles(a), shingles(b)
+        same = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
+        if 100 * same >= percent * (len(s) + len(t) - same):
+            up[max(ca, cb)] = min(ca, cb)
+            found.append((int(rep[a]), int(rep[b])))
+    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["x", "y"])
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = LINK_PERCENT, size: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
     signed = materialise(signatures(docs, text, doc_id, size), "signatures")
@@ -219,13 +303,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # What the stars left out: pairs of one bucket in different components.
     labelled = members.filter("size > 2").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("bucket")
-    open_rows = materialise(labelled.join(mixed, "bucket", "left_semi").join(reps.select("rep", "n", "sig"), "rep"), "mixed")
-    x = open_rows.select("bucket", F.col("rep").alias("x"), "head", F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("sig").alias("sx"))
-    y = open_rows.select("bucket", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("sig").alias("sy"))
-    other = x.filter("x != head").join(y, (x.bucket == y.bucket) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _may_link(percent)).select("x", "y").distinct()
-    rest = materialise(other.join(tested, ["x", "y"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(confirm(rest, docs, text, doc_id, percent, size))
+    open_rows = materialise(labelled.join(mixed, "bucket", "left_semi").join(reps, "rep"), "mixed")
+    if not open_rows.isEmpty():
+        links = links.unionByName(confirm_within(open_rows, docs, text, doc_id, percent, size))
         found = components(links, "x", "y")
 
     label = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").filter("copies > 1 or component is not null")
