@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 BROADCAST_ROW_BYTES = 32
 #: Bytes of text handled at once inside a Python worker (a single longer text is its own block).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
