@@ -19,11 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import drop, materialise
+from lodestrata.llm.common import drop, materialise, small_enough
 
 PREFIX = 64
 #: Longs in the bitmap: 2**15 of 64 bits, a quarter of a megabyte, whatever the input's size.
 BITMAP_LONGS = 1 << 15
+#: Groups of equal texts (a hash and two longs each) up to this number may be broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def normalised(text: str = "text") -> Column:
@@ -56,8 +58,12 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     maybe = F.expr("(shiftrightunsigned(bitmap[cast(_bit div 64 as int)], cast(_bit % 64 as int)) & 1) = 1")
     rows = rows.select("_id", F.when(maybe, F.sha2("_norm", 256)).alias("_full"), *(f"_carry_{k}" for k in carry))
     rows = materialise(rows, "hashed")
-    groups = rows.filter("_full is not null").groupBy("_full").agg(F.min("_id").alias("_keep"), F.count("*").alias("_n")).filter("_n > 1")
-    out = rows.join(groups, "_full", "left")
+    several = rows.filter("_full is not null")
+    groups = materialise(several.groupBy("_full").agg(F.min("_id").alias("_keep"), F.count("*").alias("_n")).filter("_n > 1"), "groups")
+    # Rows without a full hash are alone: they pass by the join, where their null keys would all meet in one task.
+    joined = several.join(F.broadcast(groups) if small_enough(groups, BROADCAST_GROUPS) else groups, "_full", "left")
+    alone = rows.filter("_full is null").withColumns({"_keep": F.lit(None).cast("long"), "_n": F.lit(None).cast("long")})
+    out = joined.unionByName(alone)
     drop(by_length)
     keep = F.when(F.col("_n").isNotNull(), F.col("_keep")).otherwise(F.col("_id"))
     return out.select(
