@@ -14,6 +14,10 @@ from lodestrata.llm import exact_dedup, language_id, minhash_dedup, packing, qua
 from lodestrata.llm.common import materialise, small_enough
 
 
+#: Similarity in hundredths from which documents are near copies here; op1's query asks for a stricter cut of its own.
+NEAR_PERCENT = 80
+
+
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` less those whose doc_id is in ``rejected``; texts are shuffled only if that is too long to broadcast."""
     ids = materialise(rejected.select(F.col("doc_id").alias("_rejected")).filter("_rejected is not null").distinct(), "rejected")
@@ -35,7 +39,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, minhash_dedup.near_duplicates(docs).filter("not kept"))
+    return without(docs, minhash_dedup.near_duplicates(docs, percent=NEAR_PERCENT).filter("not kept"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

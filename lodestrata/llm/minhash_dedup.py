@@ -3,7 +3,7 @@
 1. One pass over the texts makes each document's set of distinct word shingles,
    hashed to 64 bits, and keeps its size, a 128-bit digest of the set, the low
    four bits of each of 128 minima packed in eight longs, and twenty band keys
-   of five full minima each. Documents with equal sets are one class.
+   (25 for links under 0.85) of five full minima each. Documents with equal sets are one class.
 2. In each band bucket the least class is compared with every other member: a
    star, linear in the bucket. The signatures must agree in enough bits (counted
    on the packed words, corrected for the chance of equal low bits), then the
@@ -13,8 +13,9 @@
    are tested likewise, block against block, so no candidate link between
    components is skipped; what a task returns are links, never pairs.
 
-A pair of similarity 0.85 shares no band with probability below 1e-5, and its
-estimate falls under the cut-off with probability below 1e-5.
+A pair of similarity 0.85 shares no band of twenty with probability below 1e-5,
+and its estimate falls under the cut-off with probability 1.1e-5. For a pair of
+similarity 0.8, 25 bands and its cut-off, both probabilities are below 5e-5.
 
 Confirmation streams members past one head text at a time; heads with many
 members are dealt to several tasks. Only texts of candidate pairs are shuffled.
@@ -40,6 +41,8 @@ from lodestrata.llm.components import components
 from lodestrata.llm.textops import LOWER, hash_spans, mix64, words
 
 PERMUTATIONS, BITS, BANDS, BAND_ROWS = 128, 4, 20, 5
+#: As many bands of BAND_ROWS as fit in PERMUTATIONS, for links under LINK_PERCENT.
+MOST_BANDS = PERMUTATIONS // BAND_ROWS
 #: Similarity that a link needs, in hundredths, and how far below it an estimate may lie.
 LINK_PERCENT, ESTIMATE_SLACK = 85, 0.15
 WORDS = 5
@@ -101,9 +104,9 @@ def pack_low_bits(least: np.ndarray) -> np.ndarray:
     return (low << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(2, dtype=np.uint64).view(np.int64)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    keys = np.empty((len(least), BANDS), np.uint64)
-    for b in range(BANDS):
+def band_keys(least: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    keys = np.empty((len(least), bands), np.uint64)
+    for b in range(bands):
         k = np.full(len(least), b + 1, np.uint64)
         for r in range(BAND_ROWS):
             k = mix64(k * np.uint64(0x9E3779B97F4A7C15) + least[:, b * BAND_ROWS + r])
@@ -114,7 +117,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 SIGNATURES = "doc_id long, n_shingles long, hi long, lo long, sig array<long>, bands array<long>"
 
 
-def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WORDS) -> DataFrame:
+def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WORDS, n_bands: int = BANDS) -> DataFrame:
     """One row for each document; sig and bands are null for empty sets."""
 
     def run(batches):
@@ -124,10 +127,10 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size
                 sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 full = np.array([len(s) > 0 for s in sets], bool)
                 digest = np.array([np.frombuffer(hashlib.blake2b(s.data, digest_size=16).digest(), np.int64) for s in sets]).reshape(-1, 2)
-                sig, bands = np.zeros((0, PERMUTATIONS * BITS // 64), np.int64), np.zeros((0, BANDS), np.int64)
+                sig, bands = np.zeros((0, PERMUTATIONS * BITS // 64), np.int64), np.zeros((0, n_bands), np.int64)
                 if full.any():
                     least = minima([s for s in sets if len(s)])
-                    sig, bands = pack_low_bits(least), band_keys(least)
+                    sig, bands = pack_low_bits(least), band_keys(least, n_bands)
                 place = np.cumsum(full) - 1
 
                 def lists(a, place=place, full=full):
@@ -285,7 +288,7 @@ def _links(rows: list[dict], percent: int, size: int) -> pa.RecordBatch:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = LINK_PERCENT, size: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
-    signed = materialise(signatures(docs, text, doc_id, size), "signatures")
+    signed = materialise(signatures(docs, text, doc_id, size, BANDS if percent >= LINK_PERCENT else MOST_BANDS), "signatures")
     some = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = materialise(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = materialise(
