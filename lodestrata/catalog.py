@@ -143,6 +143,7 @@ FILTERS = {
     "a_overlaps": ("A_OVERLAPS(flags, ('A','R'))", "o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag IN ('A', 'R'))"),
     "a_containedby": ("A_CONTAINEDBY(flags, ('A','R'))", "o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag NOT IN ('A', 'R')) = 0)"),
     "a_literals": ("A_CONTAINS(('a','b'), ('b')) AND custkey < 20", "o_custkey < 20"),
+    "a_literals_all": ("A_CONTAINS(('a','b'), ('b'))", "true"),
     "a_swapped": ("A_CONTAINEDBY(('A','R'), flags)", "o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 2)"),
     "a_not_contains": ("NOT (A_CONTAINS(flags, ('A','R')))", "o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 2)"),
     "t_interval_props": ("T_INTERSECTS(INTERVAL(date,date), INTERVAL('1996-01-01','1996-03-31'))", "o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1996-03-31 23:59:59'"),
@@ -276,8 +277,10 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {k: _flat("orders", "key price", text) for k, (text, _) in FILTERS.items()}
     out |= {k: _flat("customer", "key", text) for k, (text, _) in SPATIAL.items()}
     out |= {
-        "p_fields": _flat("orders", "key status customer.name", "custkey < 30"),
+        "p_fields": _flat("orders", "key status customer.name"),
         "p_skip_geometry": lambda s, d: _flat("customer", "key name location", "key < 50", skip_geometry=True)(s, d),
+        # The queries named _all run over whole tables what those without it run over a range of keys.
+        "p_skip_geometry_all": lambda s, d: _flat("customer", "key name location", skip_geometry=True)(s, d),
         "p_constant": lambda s, d: _party(s, d).filter("kind = 'customer'"),
         "j_self_join": lambda s, d: _transformed(s, d, [_KEY, {"name": "siblings", "type": "VALUE_ARRAY", "value_type": "INTEGER", "source_path": "[o_custkey=o_custkey]orders{sortKey=o_orderkey}/o_orderkey"}], "*").select("key", F.size("siblings").cast("long").alias("n")),
         "j_left_filter": lambda s, d: _transformed(s, d, [_KEY, {"name": "returned", "type": "VALUE_ARRAY", "value_type": "INTEGER", "source_path": "[o_orderkey=l_orderkey]lineitem{sortKey=l_linenumber}{filter=l_returnflag = 'R'}/l_linenumber"}], "*").select("key", F.size("returned").cast("long").alias("n")),
@@ -285,6 +288,9 @@ def queries() -> dict[str, Query]:
         "asm_value_array": lambda s, d: _flat("orders", "key flags", "custkey < 40")(s, d).withColumn("flags", F.array_join("flags", "")),
         "asm_m_to_n": lambda s, d: _flat("orders", "key parts", "custkey < 40")(s, d).select("key", F.size("parts").cast("long").alias("n"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("sizes")),
         "asm_feature_ref": lambda s, d: _flat("customer", "key nation", "key < 60")(s, d).select("key", F.col("nation.title").alias("title")),
+        "asm_value_array_all": lambda s, d: _flat("orders", "key flags")(s, d).withColumn("flags", F.array_join("flags", "")),
+        "asm_m_to_n_all": lambda s, d: _flat("orders", "key parts")(s, d).select("key", F.size("parts").cast("long").alias("n"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("sizes")),
+        "asm_feature_ref_all": lambda s, d: _flat("customer", "key nation")(s, d).select("key", F.col("nation.title").alias("title")),
         "concat_root": lambda s, d: _party(s, d),
         "multi_query": _multi,
         "coalesce_values": lambda s, d: _transformed(s, d, [_KEY, {"name": "v", "coalesce": [{"source_path": "o_orderstatus", "transformations": [{"nullify": "O"}]}, {"source_path": "o_orderpriority"}]}], "*"),
@@ -330,7 +336,7 @@ def queries() -> dict[str, Query]:
         "x_flatten": _x([{**_CUSTOMER, "transformations": [{"flatten": "_"}]}]),
         "g_diameter": lambda s, d: tables(s, d)("customer_geo").filter("abs(lat) < 80").select("c_custkey", F.round(C.diameter_2d(F.col("lon"), F.col("lat"), F.col("lon") + 1, F.col("lat") + 1), 2).alias("diameter")),
         "g_reproject_3857": lambda s, d: _reproject(s, d),
-        "g_reproject_wkt": lambda s, d: _flat("customer", "key location", "key < 200", crs=C.WEB_MERCATOR, geometry_precision=(1,))(s, d),
+        "g_reproject_wkt": lambda s, d: _flat("customer", "key location", crs=C.WEB_MERCATOR, geometry_precision=(1,))(s, d),
         "g_simplify": lambda s, d: _simplified(s, d),
         "tile_rowcol": lambda s, d: tiles.tile_points(tables(s, d)("customer_geo").select("c_custkey", "lon", "lat"), tiles.GRIDS["WorldCRS84Quad"], range(5, 6), "lon", "lat").select("c_custkey", "row", "col"),
         "tile_counts": _tile_counts,
@@ -393,6 +399,7 @@ def oracle_sql() -> dict[str, str]:
     tile = lambda z: f"CAST(least(greatest(floor((90 - lat) * {1 << z} / 180.0), 0), {(1 << z) - 1}) AS INTEGER) AS row, CAST(least(greatest(floor((lon + 180) * {2 << z} / 360.0), 0), {(2 << z) - 1}) AS INTEGER) AS col"
     return out | {
         "p_skip_geometry": "SELECT c_custkey AS key, c_name AS name FROM customer WHERE c_custkey < 50",
+        "p_skip_geometry_all": "SELECT c_custkey AS key, c_name AS name FROM customer",
         "p_constant": "SELECT c_name AS name, c_acctbal AS balance, 'customer' AS kind FROM customer",
         "j_self_join": "SELECT o_orderkey AS key, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders",
         "j_left_filter": "SELECT o_orderkey AS key, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS n FROM orders",
@@ -400,6 +407,9 @@ def oracle_sql() -> dict[str, str]:
         "asm_value_array": "SELECT o_orderkey AS key, coalesce(string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag), '') AS flags FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 40 GROUP BY 1",
         "asm_m_to_n": "SELECT o_orderkey AS key, count(p_partkey) AS n, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS sizes FROM orders LEFT JOIN (lineitem JOIN part ON l_partkey = p_partkey) ON l_orderkey = o_orderkey WHERE o_custkey < 40 GROUP BY 1",
         "asm_feature_ref": "SELECT c_custkey AS key, n_name AS title FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 60",
+        "asm_value_array_all": "SELECT o_orderkey AS key, coalesce(string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag), '') AS flags FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
+        "asm_m_to_n_all": "SELECT o_orderkey AS key, count(p_partkey) AS n, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS sizes FROM orders LEFT JOIN (lineitem JOIN part ON l_partkey = p_partkey) ON l_orderkey = o_orderkey GROUP BY 1",
+        "asm_feature_ref_all": "SELECT c_custkey AS key, n_name AS title FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
         "concat_root": party,
         "multi_query": "SELECT n_name AS title, NULL::VARCHAR AS name, 0 AS ordinal FROM nation UNION ALL SELECT NULL, c_name, 1 FROM customer WHERE c_acctbal > 9000",
         "coalesce_values": x("CASE WHEN o_orderstatus = 'O' THEN o_orderpriority ELSE o_orderstatus END"),
