@@ -198,8 +198,8 @@ def _multi(spark, d):
     return p.multi([FeatureQuery("nation", fields=("title",)), FeatureQuery("customer", ("balance > 9000",), fields=("name",))]).select("title", "name", F.col("_ordinal").alias("ordinal"))
 
 
-def _sum_items(spark, d):
-    df = _flat("orders", "key items", "status = 'P'")(spark, d)
+def _sum_items(spark, d, *filters):
+    df = _flat("orders", "key items", *filters)(spark, d)
     return df.select("key", F.size("items").cast("long").alias("n"), F.aggregate("items", F.lit(0.0), lambda a, x: a + x["quantity"]).alias("quantity"), F.array_join(F.transform("items", lambda x: x["line"].cast("string")), ",").alias("lines"))
 
 
@@ -284,7 +284,8 @@ def queries() -> dict[str, Query]:
         "p_constant": lambda s, d: _party(s, d).filter("kind = 'customer'"),
         "j_self_join": lambda s, d: _transformed(s, d, [_KEY, {"name": "siblings", "type": "VALUE_ARRAY", "value_type": "INTEGER", "source_path": "[o_custkey=o_custkey]orders{sortKey=o_orderkey}/o_orderkey"}], "*").select("key", F.size("siblings").cast("long").alias("n")),
         "j_left_filter": lambda s, d: _transformed(s, d, [_KEY, {"name": "returned", "type": "VALUE_ARRAY", "value_type": "INTEGER", "source_path": "[o_orderkey=l_orderkey]lineitem{sortKey=l_linenumber}{filter=l_returnflag = 'R'}/l_linenumber"}], "*").select("key", F.size("returned").cast("long").alias("n")),
-        "asm_object_array": _sum_items,
+        "asm_object_array": lambda s, d: _sum_items(s, d, "status = 'P'"),
+        "asm_object_array_all": _sum_items,
         "asm_value_array": lambda s, d: _flat("orders", "key flags", "custkey < 40")(s, d).withColumn("flags", F.array_join("flags", "")),
         "asm_m_to_n": lambda s, d: _flat("orders", "key parts", "custkey < 40")(s, d).select("key", F.size("parts").cast("long").alias("n"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("sizes")),
         "asm_feature_ref": lambda s, d: _flat("customer", "key nation", "key < 60")(s, d).select("key", F.col("nation.title").alias("title")),
@@ -316,6 +317,7 @@ def queries() -> dict[str, Query]:
         "js_path_cast": _flat("events", "id k", "k > 90"),
         "js_sort_key": _flat("events", "id k", sort_keys=("-k",), limit=50),
         "js_array": lambda s, d: _flat("events", "id tags", "k < 10")(s, d).withColumn("tags", F.array_join("tags", ",")),
+        "js_array_all": lambda s, d: _flat("events", "id tags")(s, d).withColumn("tags", F.array_join("tags", ",")),
         "w_synthetic_key": lambda s, d: _synthetic(s, d),
         "x_rename": _x([_value("o_orderstatus", rename="status")]),
         "x_remove": _x([_value("o_orderstatus", remove="ALWAYS"), {"name": "p", "source_path": "o_orderpriority"}]),
@@ -404,6 +406,7 @@ def oracle_sql() -> dict[str, str]:
         "j_self_join": "SELECT o_orderkey AS key, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders",
         "j_left_filter": "SELECT o_orderkey AS key, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS n FROM orders",
         "asm_object_array": "SELECT o_orderkey AS key, count(l_linenumber) AS n, coalesce(sum(l_quantity), 0) AS quantity, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber), '') AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1",
+        "asm_object_array_all": "SELECT o_orderkey AS key, count(l_linenumber) AS n, coalesce(sum(l_quantity), 0) AS quantity, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber), '') AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
         "asm_value_array": "SELECT o_orderkey AS key, coalesce(string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag), '') AS flags FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 40 GROUP BY 1",
         "asm_m_to_n": "SELECT o_orderkey AS key, count(p_partkey) AS n, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS sizes FROM orders LEFT JOIN (lineitem JOIN part ON l_partkey = p_partkey) ON l_orderkey = o_orderkey WHERE o_custkey < 40 GROUP BY 1",
         "asm_feature_ref": "SELECT c_custkey AS key, n_name AS title FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 60",
@@ -434,6 +437,7 @@ def oracle_sql() -> dict[str, str]:
         "js_path_cast": "SELECT event_id AS id, CAST(props->>'k' AS BIGINT) AS k FROM events WHERE CAST(props->>'k' AS BIGINT) > 90",
         "js_sort_key": "SELECT event_id AS id, CAST(props->>'k' AS BIGINT) AS k FROM events ORDER BY k DESC NULLS LAST, event_id LIMIT 50",
         "js_array": "SELECT event_id AS id, (props->>'k') || ',' || CAST(event_id % 7 AS VARCHAR) AS tags FROM events WHERE CAST(props->>'k' AS INT) < 10",
+        "js_array_all": "SELECT event_id AS id, (props->>'k') || ',' || CAST(event_id % 7 AS VARCHAR) AS tags FROM events",
         "w_synthetic_key": "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem",
         "x_rename": x("o_orderstatus", "status"),
         "x_remove": x("o_orderpriority", "p"),
