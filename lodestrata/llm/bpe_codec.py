@@ -11,8 +11,9 @@ pair with a lower rank than its own. Such merges are found from the vocabulary;
 for them only the leftmost position of each word is merged before the index is
 asked again, so the result is that of merging one lowest pair at a time.
 
-A block is one Arrow batch (a bounded share of a task's documents), so memory
-does not grow with the corpus; words met before come from a bounded pool.
+Each text is cut into words once. The words of a block of texts (:data:`REPLAY_BYTES`)
+that a bounded pool does not know yet are merged together, so memory does not grow
+with the corpus; the README says why blocks and not the whole corpus's vocabulary.
 
 Cases: null and empty texts have no tokens. Special tokens do not exist: their
 names are ordinary text. Very long texts and words are encoded whole. Repeated
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import blocks, text_buffers, tokenizer_path
+from lodestrata.llm.common import blocks, text_buffers, tokenizer_path, worker_tool
 from lodestrata.llm.pretoken import GPT_PATTERN, UnitPool, compile_pattern, encode_by_pattern, space_units
 from lodestrata.llm.textops import ragged_index
 
@@ -143,15 +144,15 @@ def replay(table: RankTable, symbols: np.ndarray, starts: np.ndarray) -> tuple[n
     return sym[alive], np.bincount(word[alive], minlength=len(starts))
 
 
-_POOLS: dict[str, tuple[RankTable, UnitPool]] = {}
 _PATTERN = compile_pattern(GPT_PATTERN)
 
 
 def _tools(path: str) -> tuple[RankTable, UnitPool]:
-    if path not in _POOLS:
+    def make():
         table = RankTable(path)
-        _POOLS[path] = table, UnitPool(encode_by_pattern(_PATTERN, partial(replay, table), table.byte_ids))
-    return _POOLS[path]
+        return table, UnitPool(encode_by_pattern(_PATTERN, partial(replay, table), table.byte_ids))
+
+    return worker_tool(("codec", path), make)
 
 
 def encode_block(raw: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +166,7 @@ def encode_block(raw: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.nd
 
 
 #: Bytes of text whose words are merged together.
-REPLAY_BYTES = 12 << 20
+REPLAY_BYTES = 4 << 20
 
 
 def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
@@ -175,7 +176,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabula
     def run(batches):
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, REPLAY_BYTES):
                 ids, bounds = encode_block(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], path)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
@@ -200,29 +201,25 @@ def round_trip_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     path = vocabulary or tokenizer_path("byte_bpe_multi_50k.tiktoken")
 
     def run(batches):
-        table, pool = _tools(path)
+        table, _ = _tools(path)
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            for a, b in blocks(offsets, REPLAY_BYTES):
-                starts, ends, _ = space_units(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _PATTERN)
-                pool.rows(raw[offsets[a] : offsets[b]], starts, ends)  # merges the words of the larger block at once
-                del starts, ends
-                for i, j in ((a + x, a + y) for x, y in blocks(offsets[a : b + 1])):
-                    ids, bounds = encode_block(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], path)
-                    data = memoryview(ids.astype("<u4")).cast("B")
-                    content = memoryview(table.decode(ids))
-                    ends_at = np.zeros(len(ids) + 1, np.int64)
-                    np.cumsum(table.length[ids.astype(np.int64)], out=ends_at[1:])
-                    at = ends_at[bounds]
-                    n = j - i
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(i, n),
-                            pa.array(np.diff(bounds)),
-                            pa.array([hashlib.sha256(data[4 * bounds[k] : 4 * bounds[k + 1]]).hexdigest() for k in range(n)], pa.string()),
-                            pa.array([hashlib.sha256(content[at[k] : at[k + 1]]).hexdigest() for k in range(n)], pa.string()),
-                        ],
-                        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                    )
+            for i, j in blocks(offsets, REPLAY_BYTES):
+                ids, bounds = encode_block(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], path)
+                data = memoryview(ids.astype("<u4")).cast("B")
+                content = memoryview(table.decode(ids))
+                ends_at = np.zeros(len(ids) + 1, np.int64)
+                np.cumsum(table.length[ids.astype(np.int64)], out=ends_at[1:])
+                at = ends_at[bounds]
+                n = j - i
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(i, n),
+                        pa.array(np.diff(bounds)),
+                        pa.array([hashlib.sha256(data[4 * bounds[k] : 4 * bounds[k + 1]]).hexdigest() for k in range(n)], pa.string()),
+                        pa.array([hashlib.sha256(content[at[k] : at[k + 1]]).hexdigest() for k in range(n)], pa.string()),
+                    ],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +22,9 @@ BROADCAST_ROWS = 500_000
 BROADCAST_ROW_BYTES = 32
 #: Bytes of text handled at once inside a Python worker (a single longer text is its own block).
 BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a Python worker, which JVM and worker both hold.
+ARROW_BYTES = 4 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,19 +67,57 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with bounded_batches(spark):
+        df.write.parquet(path)
     atexit.register(_remove_at_exit, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession):
+    """Queries run within it hand rows to Python workers in batches of about ``ARROW_BYTES``, not of a number of rows."""
+    before = spark.conf.get(_ARROW, None)
+    spark.conf.set(_ARROW, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_ARROW)
+        else:
+            spark.conf.set(_ARROW, before)
+
+
 def drop(*frames: DataFrame) -> None:
     for df in frames:
         if path := getattr(df, "_written_at", None):
             remove(df.sparkSession, path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+    """``docs`` with a column of longs, no two alike, that ascend with doc_id (nulls last); and its name.
+
+    Where no doc_id is null or repeated it is the doc_id itself. Otherwise the rows
+    are sorted and written once, with a number each.
+    """
+    row, key = free_name(docs, "_row"), F.col(doc_id).cast("long")
+    odd = docs.select(key.alias("i")).groupBy("i").agg(F.count("*").alias("n")).filter("n > 1 or i is null")
+    if odd.isEmpty():
+        return docs.withColumn(row, key), row
+    order = (key.asc_nulls_last(), F.xxhash64(text), F.monotonically_increasing_id())  # ties are no task's burden
+    spread = docs.repartitionByRange(*order).sortWithinPartitions(*order[:2])
+    return materialise(spread.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` (already materialised) has at most ``rows`` rows: the check before a broadcast."""
     return df.limit(rows + 1).count() <= rows
@@ -87,6 +133,31 @@ def semi_join(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return big.join(F.broadcast(keys) if small_enough(keys) else keys, on, "left_semi")
 
 
+# --- Python workers ---------------------------------------------------------------------
+
+_TOOLS: dict[Any, Any] = {}
+
+
+def worker_tool(key: Any, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps between tasks (a vocabulary and a pool): only one at a time, so that
+    a worker that serves one operator after another never holds the tools of all."""
+    if key not in _TOOLS:
+        release_tools()
+        _TOOLS[key] = make()
+    return _TOOLS[key]
+
+
+def release_tools() -> None:
+    """Give back what another operator's tasks left in this worker process."""
+    if _TOOLS:
+        _TOOLS.clear()
+        gc.collect()
+        try:  # glibc keeps freed memory otherwise
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+
+
 # --- Arrow ----------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Connected components over an edge table.
 
-Edges are contracted by union-find in tasks of a bounded number of edges: each
-task replaces its edges by stars on the least node it knows. While more edges
+Edges are contracted by union-find in tasks of a bounded number of edges, dealt
+by both ends: each task replaces its edges by stars on the least node it knows. While more edges
 are left than one task may take, an alternating large-star and small-star round
 (grouped minima and joins on the node) brings the stars of different tasks
 together and the next contraction follows. No unbounded component is ever
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import drop, materialise
+from lodestrata.llm.common import drop, materialise, small_enough
 
 #: Edges that one task contracts at most, on average; fixed, whatever the input's size.
 TASK_EDGES = 400_000
@@ -52,14 +52,16 @@ def _contract(edges: DataFrame, tasks: int) -> DataFrame:
             far = nodes != least
             yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(least[far])], ["u", "v"])
 
-    return edges.repartition(tasks, F.xxhash64("v")).mapInArrow(run, "u long, v long")
+    # Dealt by both ends: the edges of one node, a star's centre say, go to all tasks.
+    return edges.repartition(tasks, F.xxhash64("u", "v")).mapInArrow(run, "u long, v long")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step on edges (u, v), u > v: large-star hangs larger neighbours, small-star smaller ones, on the least neighbour."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    joined = both.join(least, "u")
+    # Written, so that the join's sides are plain exchanges, whose hot partitions Spark can split.
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
+    joined = both.join(F.broadcast(least) if small_enough(least) else least, "u")
     if large:
         return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.filter("u != m").select("u", F.col("m").alias("v")))

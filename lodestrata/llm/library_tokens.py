@@ -16,12 +16,11 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from lodestrata.llm.common import blocks, text_buffers
+from lodestrata.llm.common import blocks, text_buffers, worker_tool
 from lodestrata.llm.pretoken import DIGIT, WHOLE, UnitPool, classes
 from lodestrata.llm.textops import ragged_index, words
 
 END_ID = 1
-_POOLS: dict[str, UnitPool] = {}
 
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
@@ -66,29 +65,30 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low, first, last, np.searchsorted(first, offsets)
 
 
+def _make_pool(path: str) -> UnitPool:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    model, table = tokenizer.model, str.maketrans({chr(b): c for b, c in byte_letters().items()})
+
+    def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        flat, sizes = [], []
+        for u in units:
+            if _PLAIN.fullmatch(u):
+                ids = [t.id for t in model.tokenize(u.decode("latin-1").translate(table))]
+            else:
+                ids = tokenizer.encode(u.decode("utf-8", "replace"), add_special_tokens=False).ids
+            flat += ids
+            sizes.append(len(ids))
+        return np.array(flat, np.uint32), np.array(sizes, np.int64)
+
+    return UnitPool(encode)
+
+
 def _pool(path: str) -> UnitPool:
-    """One bounded pool for each vocabulary file and worker process."""
-    if path not in _POOLS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        model, letters = tokenizer.model, {chr(b): c for b, c in byte_letters().items()}
-        table = str.maketrans(letters)
-
-        def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            flat, sizes = [], []
-            for u in units:
-                if _PLAIN.fullmatch(u):
-                    ids = [t.id for t in model.tokenize(u.decode("latin-1").translate(table))]
-                else:
-                    ids = tokenizer.encode(u.decode("utf-8", "replace"), add_special_tokens=False).ids
-                flat += ids
-                sizes.append(len(ids))
-            return np.array(flat, np.uint32), np.array(sizes, np.int64)
-
-        _POOLS[path] = UnitPool(encode)
-    return _POOLS[path]
+    """One bounded pool for each worker process."""
+    return worker_tool(("library", path), lambda: _make_pool(path))
 
 
 def encode_column(column: pa.Array, path: str):

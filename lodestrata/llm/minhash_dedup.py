@@ -10,8 +10,9 @@
    full shingle sets decide.
 3. Buckets whose members now lie in one component need nothing more. In the
    others, the pairs of members of different components that the star left out
-   are tested likewise, block against block, so no candidate link between
-   components is skipped; what a task returns are links, never pairs.
+   are estimated block against block, on the signatures alone; the members that
+   may link, and no others, then bring their texts, and full sets decide. What a
+   task returns are members or links, never pairs.
 
 A pair of similarity 0.85 shares no band of twenty with probability below 1e-5,
 and its estimate falls under the cut-off with probability 1.1e-5. For a pair of
@@ -19,12 +20,14 @@ similarity 0.8, 25 bands and its cut-off, both probabilities are below 5e-5.
 
 Confirmation streams members past one head text at a time; heads with many
 members are dealt to several tasks. Only texts of candidate pairs are shuffled.
+Blocks are bounded in members and in shingles.
 
 Cases: null, empty and white-space texts have an empty set and link with
 nothing; texts of fewer words than a shingle have one shingle, the whole
-sequence. Rows with a null doc_id get a null component and are kept. Repeated
-rows get one component; all of them count as kept when their doc_id is the
-least. An empty table gives an empty result. Texts are used whole.
+sequence. Rows with a null doc_id get a null component and are kept. Rows that
+share a doc_id are compared as documents of their own, and count as kept when
+that doc_id is the least of their component. An empty table gives an empty
+result. Texts are used whole.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import blocks, drop, materialise, semi_join, text_buffers
+from lodestrata.llm.common import blocks, drop, materialise, numbered, release_tools, semi_join, small_enough, text_buffers
 from lodestrata.llm.components import components
 from lodestrata.llm.textops import LOWER, hash_spans, mix64, words
 
@@ -46,8 +49,8 @@ MOST_BANDS = PERMUTATIONS // BAND_ROWS
 #: Similarity that a link needs, in hundredths, and how far below it an estimate may lie.
 LINK_PERCENT, ESTIMATE_SLACK = 85, 0.15
 WORDS = 5
-#: Members of one head that one task confirms, and members of a block of a bucket.
-CHUNK, BLOCK = 64, 256
+#: Members of one head that one task confirms; members and shingles of a block of a bucket.
+CHUNK, BLOCK, BLOCK_SHINGLES = 64, 2048, 1 << 20
 
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 32, (3, PERMUTATIONS), np.uint32) | np.uint32(1)
 _GRAM = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(64)]
@@ -121,9 +124,10 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size
     """One row for each document; sig and bands are null for empty sets."""
 
     def run(batches):
+        release_tools()
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            for i, j in blocks(offsets, 2 << 20):
+            for i, j in blocks(offsets):
                 sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 full = np.array([len(s) > 0 for s in sets], bool)
                 digest = np.array([np.frombuffer(hashlib.blake2b(s.data, digest_size=16).digest(), np.int64) for s in sets]).reshape(-1, 2)
@@ -171,14 +175,14 @@ def _may_link(percent: int):
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, percent: int = LINK_PERCENT, size: int = WORDS) -> DataFrame:
-    """The pairs (x, y), materialised before, whose full shingle sets have the needed similarity."""
+    """The pairs (x, y), materialised before, whose full shingle sets have the needed similarity; doc_id is unique."""
     ids = materialise(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), "ids")
-    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = materialise(semi_join(own, ids, "id").dropDuplicates(["id"]), "texts")
-    heads = pairs.groupBy("x").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    members = pairs.join(heads, "x").withColumn("chunk", F.pmod(F.xxhash64("y"), F.col("chunks"))).join(texts.select(F.col("id").alias("y"), "text"), "y")
-    heads = heads.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(texts.select(F.col("id").alias("x"), "text"), "x")
-    rows = heads.select("x", "chunk", F.lit(None).cast("long").alias("y"), "text").unionByName(members.select("x", "chunk", "y", "text"))
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    texts = materialise(semi_join(own, ids, "id"), "texts")
+    heads = materialise(pairs.groupBy("x").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "heads")
+    members = pairs.join(F.broadcast(heads) if small_enough(heads) else heads, "x").withColumn("chunk", F.pmod(F.xxhash64("y"), F.col("chunks"))).join(texts.select(F.col("id").alias("y"), "text"), "y")
+    by_chunk = heads.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(texts.select(F.col("id").alias("x"), "text"), "x")
+    rows = by_chunk.select("x", "chunk", F.lit(None).cast("long").alias("y"), "text").unionByName(members.select("x", "chunk", "y", "text"))
 
     def run(batches):
         head = None
@@ -186,7 +190,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, percent:
             xs, ys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             raw, offsets = text_buffers(batch.column(3))
             found = []
-            for i, j in blocks(offsets, 2 << 20):
+            for i, j in blocks(offsets):
                 for k, s in enumerate(shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size), i):
                     if ys[k] is None:
                         head = s
@@ -199,49 +203,81 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, percent:
 
     # Within (x, chunk) the head, whose y is null, comes first.
     links = materialise(rows.repartition("x", "chunk").sortWithinPartitions("x", "chunk", F.col("y").asc_nulls_first()).mapInArrow(run, "x long, y long"), "links")
-    drop(ids, texts)
+    drop(ids, texts, heads)
     return links
 
 
+def _groups(batches, keys: int):
+    """Tables of the consecutive rows that agree in the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in range(keys):
+            v = batch.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+            new[0] |= bool(held) and held[-1].column(k)[-1].as_py() != v[0]
+        cut = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(cut, cut[1:], strict=False):
+            if new[a] and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+PAIRED = "bucket long, i long, j long, rep long, block long, head long, component long, n long, sig array<long>, bands array<long>"
+
+
 def confirm_within(rows: DataFrame, docs: DataFrame, text: str, doc_id: str, percent: int, size: int) -> DataFrame:
     """Links (x, y) between members of different components of one bucket that their star left out.
 
-    ``rows`` (materialised): bucket, size (of the bucket), head, rep, component, n, sig, bands. A
-    bucket is dealt to tasks in pairs of blocks of about ``BLOCK`` members. A task estimates all pairs of
-    its blocks on the packed signatures and tests the likely ones on the full sets, likeliest first,
-    but for those connected meanwhile; it returns links only. A pair is tested in its first common band.
+    ``rows`` (materialised): bucket, size (of the bucket), head, rep, component, n, sig, bands. A bucket
+    is dealt to tasks in pairs of blocks. A first pass estimates all pairs of two blocks on the packed
+    signatures and keeps the members that may link; these alone bring their texts to a second one, which
+    tests the likely pairs on the full sets, likeliest first, but for those connected meanwhile. A pair is
+    tested in its first common band.
     """
-    ids = materialise(rows.select(F.col("rep").alias("id")).distinct(), "ids")
-    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = materialise(semi_join(own, ids, "id").dropDuplicates(["id"]).withColumnRenamed("id", "rep"), "texts")
-    dealt = rows.withColumn("parts", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), "parts"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts, "rep")
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "block", "head", "component", "n", "sig", "bands", "text")
+    weight = materialise(rows.groupBy("bucket").agg(F.sum("n").alias("shingles")), "weight")
+    dealt = rows.join(F.broadcast(weight) if small_enough(weight) else weight, "bucket")
+    dealt = dealt.withColumn("parts", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).withColumn("block", F.pmod(F.xxhash64("rep"), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    names = [c.split()[0] for c in PAIRED.split(", ")]
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *names[3:])
+
+    def narrow(batches):
+        for table in _groups(batches, 3):
+            likely = _likely_within(table, percent)
+            at = np.unique(np.array([k for _, a, b in likely for k in (a, b)], np.int64))
+            if len(at):
+                yield from table.take(pa.array(at)).to_batches()
+
+    order = ("bucket", "i", "j", "rep")
+    chosen = materialise(dealt.repartition("bucket", "i", "j").sortWithinPartitions(*order).mapInArrow(narrow, PAIRED), "chosen")
+    ids = materialise(chosen.select(F.col("rep").alias("id")).distinct(), "ids")
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    texts = materialise(semi_join(own, ids, "id").withColumnRenamed("id", "rep"), "texts")
 
     def run(batches):
-        key, held = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if (now := (row["bucket"], row["i"], row["j"])) != key:
-                    if held:
-                        yield _links(held, percent, size)
-                    key, held = now, []
-                held.append(row)
-        if held:
-            yield _links(held, percent, size)
-
-    return materialise(dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep").mapInArrow(run, "x long, y long"), "links")
-
-
-def _links(rows: list[dict], percent: int, size: int) -> pa.RecordBatch:
-    """See :func:`confirm_within`; the rows of one pair of blocks."""
-    rep, block, n = (np.array([r[k] for r in rows]) for k in ("rep", "block", "n"))
-    sig, bands = np.array([r["sig"] for r in rows]).view(np.uint64), np.array([r["bands"] for r in rows])
-    bucket, across = rows[0]["bucket"], rows[0]["i"] != rows[0]["j"]
-    component, head = np.array([r["component"] for r in rows]), rows[0]["head"]
-    chance, fold, likely = 1 / (1 << BITS), np.uint64(int(("0" * (BITS - 1) + "1") * (64 // BITS), 2)), []
-    for a in range(len(rows) - 1):
-        if rep[a] == head:
+        for table in _groups(batches, 3):
+            yield _links(table, percent, size)
+
+    links = materialise(chosen.join(texts, "rep").select(*names, "text").repartition("bucket", "i", "j").sortWithinPartitions(*order).mapInArrow(run, "x long, y long"), "links")
+    drop(weight, chosen, ids, texts)
+    return links
+
+
+def _likely_within(table: pa.Table, percent: int) -> list[tuple[float, int, int]]:
+    """See :func:`confirm_within`: (less the estimate, a, b) for the rows of two blocks that may link and have not been compared."""
+    bucket, i, j, rep, block, head, component, n = (table.column(k).to_numpy() for k in range(8))
+    lists = lambda name: table.column(name).combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+    sig, bands = lists("sig").view(np.uint64), lists("bands")
+    across, chance, fold, likely = i[0] != j[0], 1 / (1 << BITS), np.uint64(int(("0" * (BITS - 1) + "1") * (64 // BITS), 2)), []
+    for a in range(len(rep) - 1):
+        if rep[a] == head[a]:
             continue
         later = slice(a + 1, None)
         x = sig[later] ^ sig[a]
@@ -250,13 +286,20 @@ def _links(rows: list[dict], percent: int, size: int) -> pa.RecordBatch:
             y |= x >> np.uint64(k)
         different = np.bitwise_count(y & fold).sum(1, dtype=np.int64)
         estimate = (1 - different / PERMUTATIONS - chance) / (1 - chance)
-        ok = (estimate >= percent / 100 - ESTIMATE_SLACK) & (component[later] != component[a]) & (rep[later] != head)
+        ok = (estimate >= percent / 100 - ESTIMATE_SLACK) & (component[later] != component[a]) & (rep[later] != head[a])
         ok &= (np.minimum(n[later], n[a]) * 100 >= np.maximum(n[later], n[a]) * percent) & ((block[later] != block[a]) | (not across))
         if ok.any():
             at = np.flatnonzero(ok)
             first = (bands[at + a + 1] == bands[a]).argmax(1)
-            at = at[bands[a][first] == bucket]
+            at = at[bands[a][first] == bucket[0]]
             likely += [(-estimate[k], a, int(k) + a + 1) for k in at]
+    return likely
+
+
+def _links(table: pa.Table, percent: int, size: int) -> pa.RecordBatch:
+    """See :func:`confirm_within`; the members of two blocks that may link, with their texts."""
+    likely = _likely_within(table, percent)
+    rep, component, texts = table.column("rep").to_numpy(), table.column("component").to_numpy(), table.column("text").combine_chunks()
     likely.sort()
     up: dict[int, int] = {}
 
@@ -269,7 +312,7 @@ def _links(rows: list[dict], percent: int, size: int) -> pa.RecordBatch:
 
     def shingles(k: int) -> np.ndarray:
         if k not in sets:
-            raw, offsets = text_buffers(pa.array([rows[k]["text"]], pa.string()))
+            raw, offsets = text_buffers(texts.slice(k, 1))
             sets[k] = shingle_sets(raw, offsets, size)[0]
         return sets[k]
 
@@ -288,31 +331,48 @@ def _links(rows: list[dict], percent: int, size: int) -> pa.RecordBatch:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = LINK_PERCENT, size: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
-    signed = materialise(signatures(docs, text, doc_id, size, BANDS if percent >= LINK_PERCENT else MOST_BANDS), "signatures")
-    some = signed.filter("n_shingles > 0 and doc_id is not null")
+    own, row = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    signed = materialise(signatures(own, "text", row, size, BANDS if percent >= LINK_PERCENT else MOST_BANDS), "signatures")
+    if "_written_at" not in own.__dict__:  # doc_id is the number
+        out = _components(signed, own, row, percent, size)
+        return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    names = materialise(own.select(row, F.col("doc_id").alias("id")), "names")
+    nameless = names.filter("id is null").select(F.col(row).alias("doc_id"))
+    named = _components(signed.join(names.filter("id is not null").select(F.col(row).alias("doc_id")), "doc_id", "left_semi"), own, row, percent, size)
+    out = named.join(names.select(F.col(row).alias("doc_id"), "id"), "doc_id").join(names.select(F.col(row).alias("component_id"), F.col("id").alias("least")), "component_id")
+    out = out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
+    none = F.lit(None).cast("long")
+    rest = signed.join(nameless, "doc_id", "left_semi").select(none.alias("doc_id"), "n_shingles", none.alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(rest)
+
+
+def _components(signed: DataFrame, docs: DataFrame, row: str, percent: int, size: int) -> DataFrame:
+    """doc_id, n_shingles, component_id for :func:`signatures`'s rows of unique, non-null numbers."""
+    some = signed.filter("n_shingles > 0")
     classes = materialise(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = materialise(
-        some.join(classes.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig", "bands"), "reps"
-    )
+    first = classes.select(F.col("rep").alias("doc_id"))
+    reps = materialise(some.join(first, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig", "bands"), "reps")
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("size")).filter("size > 1")
-    members = materialise(buckets.join(heads, "bucket"), "members")
+    heads = materialise(buckets.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("size")).filter("size > 1"), "buckets")
+    # A hot bucket is no task's burden where the heads are broadcast; more of them are a plain side of a join that Spark can split.
+    members = materialise(buckets.join(F.broadcast(heads) if small_enough(heads) else heads, "bucket"), "members")
     star = members.filter("rep != head").select(F.col("head").alias("x"), F.col("rep").alias("y")).distinct()
     tested = materialise(star, "star")
     likely = materialise(_likely(tested, reps, percent), "likely")
-    links = confirm(likely, docs, text, doc_id, percent, size)
+    links = confirm(likely, docs, "text", row, percent, size)
     found = components(links, "x", "y")
 
     # What the stars left out: pairs of one bucket in different components.
     labelled = members.filter("size > 2").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("bucket")
-    open_rows = materialise(labelled.join(mixed, "bucket", "left_semi").join(reps, "rep"), "mixed")
+    mixed = materialise(labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("bucket"), "mixed")
+    open_rows = materialise(semi_join(labelled, mixed, "bucket").join(reps, "rep"), "open")
     if not open_rows.isEmpty():
-        links = links.unionByName(confirm_within(open_rows, docs, text, doc_id, percent, size))
+        links = links.unionByName(confirm_within(open_rows, docs, "text", row, percent, size))
         found = components(links, "x", "y")
 
     label = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").filter("copies > 1 or component is not null")
-    label = label.select("hi", "lo", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(label, ["hi", "lo"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    label = materialise(label.select("hi", "lo", F.coalesce("component", "rep").alias("component")), "label")
+    drop(heads, members, tested, likely, mixed, open_rows, reps)
+    # Empty sets share one digest and link with nothing: they pass by the join.
+    linked = some.join(F.broadcast(label) if small_enough(label) else label, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return linked.unionByName(signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

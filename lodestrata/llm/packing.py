@@ -1,11 +1,13 @@
 """Best-fit packing (operator 3): sum-of-squares placement of document pieces into fixed-size sequences.
 
 Each piece goes where the sum over gaps of (open bins with that gap) squared
-becomes smallest; opening a bin counts as a choice too. Tasks pack their own
-share of the pieces by length alone. Pieces of bins that a task could not fill
-are packed again with those of other tasks, sixteen tasks at a time, until one
-share is left (on a second level at least), so no task sees more than a bounded number of rows and no text
-or token ids are shuffled.
+becomes smallest; opening a bin counts as a choice too. Tasks pack equal shares
+of the pieces by length alone, longest first. Of its bins a task leaves open the
+:data:`CARRIED` emptiest, at most, unless nothing that is left could fill them;
+those are packed again, each as one item of its filled length, with the open bins of
+other tasks. So what goes up a level is a bounded number of rows for each task,
+whatever the lengths are, and every level has fewer rows by a fixed factor, until
+one bounded task is left. No text or token ids are shuffled.
 
 Cases: null and empty texts have one piece, the end id. A longer document than
 the capacity is cut into full pieces and a rest. Repeated rows are packed each.
@@ -22,15 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialise, tokenizer_path
+from lodestrata.llm.common import materialise, small_enough, tokenizer_path
 from lodestrata.llm.library_tokens import encode_column
 
 CAPACITY = 4096
-#: Pieces packed by one task, and tasks at most on the first level.
-ROWS_PER_TASK, MAX_TASKS = 24_000, 4096
-#: A bin with at most this share of its capacity free is closed for good.
-CLOSED_GAP = 1 / 256
-FAN_IN = 16
+#: Items packed by one task, and bins that it leaves open for the next level at most.
+ROWS_PER_TASK, CARRIED = 24_000, 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -99,41 +98,70 @@ def tokenised_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 
 
-def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def _pack(items: DataFrame, keys: list[str], tasks: int, level: int, capacity: int, least: int) -> DataFrame:
+    """``items`` with ``sequence_id``, ``offset`` and whether the bin stays ``open``; ``least`` is the shortest item's length."""
+    final = tasks == 1
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        # Longest first, then by the other columns: the same result in whatever order a task's rows arrive.
+        table = pa.Table.from_batches(batches).sort_by([(keys[0], "descending"), *((k, "ascending") for k in keys[1:])]).combine_chunks()
+        bins, offsets, gaps = sum_of_squares(table[keys[0]].to_numpy(), capacity)
+        free = np.zeros(len(gaps), bool)
+        if not final:
+            emptiest = np.argsort(-gaps, kind="stable")[:CARRIED]
+            free[emptiest[gaps[emptiest] >= least]] = True
+        ids = (level << 58) + (TaskContext.get().partitionId() << 34) + bins
+        out = table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets)).append_column("open", pa.array(free[bins]))
+        yield from out.to_batches()
+
+    schema = items.schema.add("sequence_id", "long").add("offset", "long").add("open", "boolean")
+    # Dealt in turn, not by a key: repeated rows make no task larger than another.
+    return materialise(items.repartition(tasks).mapInArrow(run, schema), f"packed{level}")
+
+
+def _open_bins(packed: DataFrame, length: str) -> DataFrame:
+    """bin and filled of the bins that stay open: one row for each."""
+    filled = packed.filter("open").groupBy(F.col("sequence_id").alias("bin")).agg(F.max(F.col("offset") + F.col(length)).alias("filled"))
+    return materialise(filled, "open")
+
+
+def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``pieces`` (materialised; column ``length`` and any others) with ``sequence_id`` and ``offset``."""
-    total = pieces.count()
-    tasks = max(1, min(MAX_TASKS, -(-total // ROWS_PER_TASK)))
-    names, done, level, left = pieces.columns, [], 0, pieces
-    keys = [c for c in ("length", "doc_id", "piece", "ids_crc32") if c in names]
+    n, least = pieces.agg(F.count("*"), F.min("length")).first()
+    tasks = max(1, -(-n // rows_per_task))
+    keys = [c for c in ("length", "doc_id", "piece", "ids_crc32") if c in pieces.columns]
+    packed = _pack(pieces, keys, tasks, 0, capacity, least or 0)
+    if tasks == 1:
+        return packed.drop("open")
+    bins, moved, level = _open_bins(packed, "length"), None, 0
     while True:
-        last, base = level > 0 and tasks == 1, level << 58
-
-        def pack(batches, last=last, base=base):
-            from pyspark import TaskContext
-
-            batches = [b for b in batches if b.num_rows]
-            if not batches:
-                return
-            table = pa.Table.from_batches(batches)
-            # Longest first, then by the other columns: the same result whatever order the rows arrive in.
-            table = table.sort_by([(keys[0], "descending"), *((k, "ascending") for k in keys[1:])]).combine_chunks()
-            bins, offsets, gaps = sum_of_squares(table["length"].to_numpy(), capacity)
-            keep = np.ones(len(gaps), bool) if last else gaps <= int(capacity * CLOSED_GAP)
-            ids = np.where(keep[bins], base + (TaskContext.get().partitionId() << 34) + bins, -1)
-            for b in table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets)).to_batches():
-                yield b
-
-        schema = left.select(*names).schema.add("sequence_id", "long").add("offset", "long")
-        spread = left.repartition(tasks, *(F.col(k) for k in keys))
-        packed = materialise(spread.mapInArrow(pack, schema), f"packed{level}")
-        done.append(packed.filter("sequence_id >= 0"))
-        if last:
+        n, least = bins.agg(F.count("*"), F.min("filled")).first()
+        if not n:
+            break
+        # Fewer tasks on every level, also where many tasks have few rows each.
+        tasks, level = min(-(-n // rows_per_task), -(-tasks // 2)), level + 1
+        step = _pack(bins, ["filled", "bin"], tasks, level, capacity, least)
+        to = step.select("bin", F.col("sequence_id").alias("to"), F.col("offset").alias("by"))
+        if moved is None:
+            moved = to
+        else:  # where earlier levels have put a bin, moved on by this one
+            again = to.select(F.col("bin").alias("to"), F.col("to").alias("next"), F.col("by").alias("more"))
+            moved = moved.join(again, "to", "left").select("bin", F.coalesce("next", "to").alias("to"), (F.col("by") + F.coalesce("more", F.lit(0))).alias("by"))
+            moved = materialise(moved, "moved")
+        if tasks == 1:
             break
-        left, tasks, level = packed.filter("sequence_id < 0").select(*names), -(-tasks // FAN_IN), level + 1
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+        bins = _open_bins(step, "filled")
+    out = packed.filter("not open").drop("open")
+    if moved is None:
+        return out
+    moved = F.broadcast(moved) if small_enough(moved) else moved
+    again = packed.filter("open").join(moved, F.col("sequence_id") == F.col("bin")).select(*pieces.columns, F.col("to").alias("sequence_id"), (F.col("offset") + F.col("by")).alias("offset"))
+    return out.unionByName(again)
 
 
 def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:

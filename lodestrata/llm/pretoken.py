@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
-from lodestrata.llm.textops import IS_SPACE, hash_spans, ragged_index, sums_by_range
+from lodestrata.llm.textops import IS_SPACE, hash_spans, ragged_index, same_spans, sums_by_range
 
 #: Fixed value: the published pattern that cuts text before the merges of byte-level BPE.
 GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -136,7 +136,7 @@ def space_units(raw: np.ndarray, offsets: np.ndarray, pattern: regex.Pattern) ->
 
 
 class UnitPool:
-    """Token ids of units met so far, in flat arrays; emptied when it outgrows ``limit`` units.
+    """Token ids of units met so far, in flat arrays; one that outgrows ``limit`` units keeps those of the block at hand.
 
     ``encode`` maps a list of distinct byte strings to their ids, one after another, and their counts.
     Rows of one block stay valid until the next call of :meth:`rows`.
@@ -153,8 +153,7 @@ class UnitPool:
         self.count = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _add(self, units: list[bytes]) -> None:
-        flat, sizes = self.encode(units)
+    def _add(self, units: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.at)
         for k in ("first", "count"):
             have = getattr(self, k)
@@ -169,18 +168,30 @@ class UnitPool:
         self.at.update(zip(units, range(n, n + len(units)), strict=True))
 
     def rows(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Row of each span in ``first`` and ``count``; spans of one 64-bit hash count as equal."""
+        """Row of each span in ``first`` and ``count``; spans of one hash are compared byte by byte."""
         if not len(starts):
             return np.zeros(0, np.int64)
         _, at, inverse = np.unique(hash_spans(raw, starts, ends), return_index=True, return_inverse=True)
+        inverse = inverse.reshape(-1)
+        size = ends - starts
+        other = size != size[at][inverse]
+        other |= ~same_spans(raw, starts, starts[at][inverse], np.where(other, 0, size))
+        if other.any():  # one hash for different bytes: such spans stand for themselves
+            own = np.flatnonzero(other)
+            inverse[own] = len(at) + np.arange(len(own))
+            at = np.concatenate([at, own])
         data = raw.tobytes()
         units = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        if len(self.at) + len(units) > self.limit and len(self.at):
-            self._clear()
         found = [self.at.get(u, -1) for u in units]
-        if missing := [u for u, k in zip(units, found, strict=True) if k < 0]:
-            self._add(list(dict.fromkeys(missing)))
-            found = [self.at[u] if k < 0 else k for u, k in zip(units, found, strict=True)]
+        if missing := list(dict.fromkeys(u for u, k in zip(units, found, strict=True) if k < 0)):
+            if len(self.at) + len(missing) > self.limit:
+                known = {u: k for u, k in zip(units, found, strict=True) if k >= 0}
+                own = np.fromiter(known.values(), np.int64, len(known))
+                flat, sizes = self.tokens(own), self.count[own]
+                self._clear()
+                self._add(list(known), flat, sizes)
+            self._add(missing, *self.encode(missing))
+            found = [self.at[u] for u in units]
         return np.array(found, np.int64)[inverse]
 
     def tokens(self, rows: np.ndarray) -> np.ndarray:

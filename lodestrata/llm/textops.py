@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: White space of the contracts: space and the control characters 9 to 13.
 IS_SPACE = np.zeros(256, bool)
@@ -10,29 +11,10 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 5  # odd, and 5 modulo 8: powers have long cycles
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_LETTER = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n + 1 of each; one pair is kept."""
-    size, have = 1 << max(10, int(n).bit_length()), next(iter(_POWERS), 0)
-    if have < size:
-        _POWERS.clear()
-        both = []
-        for base in (_BASE, _BASE_INVERSE):
-            p = np.ones(size, np.uint64)
-            p[1] = base
-            k = 2
-            while k < size:
-                step = np.uint64(pow(base, k, 1 << 64))
-                p[k : 2 * k] = p[:k] * step
-                k *= 2
-            both.append(p)
-        _POWERS[size] = tuple(both)
-    return next(iter(_POWERS.values()))
+#: Spans up to this many bytes are hashed and compared in steps of eight; longer ones one by one.
+SHORT = 64
+_START, _STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -65,19 +47,50 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one integer; zeros follow the text."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, equal for equal bytes (a polynomial over random letter values)."""
-    power, inverse = _powers(len(raw))
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.take(_LETTER, raw, out=total[1:])
-    total[1:] *= power[: len(raw)]
-    np.cumsum(total[1:], out=total[1:])
-    h = total[ends]
-    h -= total[starts]
-    h *= inverse[starts]
-    h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix64(h)
+    """64-bit hashes of the byte spans, equal for equal bytes: eight bytes at a time through a mixer."""
+    size = ends - starts
+    h = size.astype(np.uint64) * _START
+    if not len(size):
+        return h
+    eights = _eights(raw)
+    h ^= eights[starts] & _MASK[np.minimum(size, 8)]
+    mix64(h)
+    at = np.flatnonzero((size > 8) & (size <= SHORT))
+    for k in range(8, SHORT, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        h[at] = mix64(h[at] * _STEP ^ eights[starts[at] + k] & _MASK[np.minimum(size[at] - k, 8)])
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        data = memoryview(np.ascontiguousarray(raw))
+        h[long] = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return h
+
+
+def same_spans(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size[i]`` bytes from ``a[i]`` on are those from ``b[i]`` on."""
+    eights = _eights(raw)
+    same = (eights[a] ^ eights[b]) & _MASK[np.minimum(size, 8)] == 0
+    at = np.flatnonzero(same & (size > 8) & (size <= SHORT) & (a != b))
+    for k in range(8, SHORT, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        same[at] &= (eights[a[at] + k] ^ eights[b[at] + k]) & _MASK[np.minimum(size[at] - k, 8)] == 0
+    long = np.flatnonzero((size > SHORT) & (a != b))
+    if len(long):
+        data = memoryview(np.ascontiguousarray(raw))
+        same[long] = [data[i : i + n] == data[j : j + n] for i, j, n in zip(a[long].tolist(), b[long].tolist(), size[long].tolist(), strict=True)]
+    return same
 
 
 def ragged_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

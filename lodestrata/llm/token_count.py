@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import blocks, text_buffers, tokenizer_path
+from lodestrata.llm.common import blocks, text_buffers, tokenizer_path, worker_tool
 from lodestrata.llm.library_tokens import byte_letters
 from lodestrata.llm.pretoken import GPT_PATTERN, UnitPool, compile_pattern, encode_by_pattern, space_units
 from lodestrata.llm.textops import ragged_index, sums_by_range
@@ -106,15 +106,15 @@ def merge_all(table: MergeTable, symbols: np.ndarray, starts: np.ndarray) -> tup
     return flat, count
 
 
-_POOLS: dict[str, tuple[MergeTable, UnitPool]] = {}
 _PATTERN = compile_pattern(GPT_PATTERN)
 
 
 def _tools(path: str) -> tuple[MergeTable, UnitPool]:
-    if path not in _POOLS:
+    def make():
         table = MergeTable(path)
-        _POOLS[path] = table, UnitPool(encode_by_pattern(_PATTERN, partial(merge_all, table), table.byte_ids))
-    return _POOLS[path]
+        return table, UnitPool(encode_by_pattern(_PATTERN, partial(merge_all, table), table.byte_ids))
+
+    return worker_tool(("count", path), make)
 
 
 def count_block(raw: np.ndarray, offsets: np.ndarray, path: str) -> np.ndarray:
