@@ -52,6 +52,19 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark itself resolves it to, so that all processes mean the same store."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, deleted when the driver exits."""
+    path = qualified(spark, new_path(spark, name))
+    atexit.register(_remove_at_exit, spark, path)
+    return path
+
+
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)

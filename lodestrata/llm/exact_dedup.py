@@ -1,12 +1,12 @@
 """Exact dedup (operator 4): progressive refinement by length, prefix hash, full hash.
 
 Texts are equal when identical after each run of white space is replaced by one
-space. A first pass keeps a length and the hash of a prefix for each text; rows
-are counted by length, then by length and prefix. A second pass computes the
-full hash only for rows whose (length, prefix) occurs more than once, which a
-bitmap of fixed size tells each task without a shuffle (a false positive costs
-one hash, nothing else). Only narrow rows are ever shuffled, and the hash's
-groups decide.
+space. A first pass counts lengths. A second one hashes a prefix of the texts
+whose length occurs more than once, and counts (length, prefix). A third hashes
+the whole of those whose length and prefix occur more than once; the groups of
+that hash decide. Which lengths and prefixes repeat, a bitmap tells each task
+without a shuffle (a false positive costs one hash, nothing else). Only narrow
+rows are ever shuffled.
 
 Cases: null counts as empty, and empty texts are equal to each other. Of equal
 texts the row with the smallest doc_id stays; a null doc_id comes after all
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import drop, materialise, small_enough
 
 PREFIX = 64
-#: Longs in the bitmap: 2**15 of 64 bits, a quarter of a megabyte, whatever the input's size.
-BITMAP_LONGS = 1 << 15
+#: Longs in a bitmap: sixteen bits for each key, within these bounds (a quarter of a megabyte to four).
+LEAST_LONGS, MOST_LONGS = 1 << 15, 1 << 19
 #: Groups of equal texts (a hash and two longs each) up to this number may be broadcast.
 BROADCAST_GROUPS = 100_000
 
@@ -32,31 +32,43 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """One row with an array of ``BITMAP_LONGS`` longs in which each key has its bit."""
-    bit = F.pmod(F.col(key), F.lit(64 * BITMAP_LONGS))
-    parts = keys.select((bit / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    words = keys.sparkSession.range(BITMAP_LONGS, numPartitions=1).select(F.col("id").cast("int").alias("w")).join(F.broadcast(parts), "w", "left")
-    return words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))), lambda x: x["b"]).alias("bitmap"))
+def _bitmap(keys: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """One row with an array of longs in which each of ``keys`` (materialised; one column of longs) has its bit, and the number of bits."""
+    longs = min(MOST_LONGS, max(LEAST_LONGS, 1 << (keys.count() // 4).bit_length()))
+    key = keys.columns[0]
+    parts = keys.select((F.pmod(key, F.lit(64 * longs)) / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    words = keys.sparkSession.range(longs, numPartitions=1).select(F.col("id").cast("int").alias("w")).join(F.broadcast(parts), "w", "left")
+    return words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))), lambda x: x["b"]).alias(name)), 64 * longs
+
+
+def _set_in(name: str, bits: int, key: Column) -> Column:
+    """Whether the key has its bit in the array ``name``."""
+    at = F.pmod(key, F.lit(bits))
+    word = F.element_at(name, (F.floor(at / 64) + 1).cast("int"))
+    return F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: dict[str, Column] | None = None, prefix: int = PREFIX) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and the columns of ``carry`` (narrow, computed in the second pass): one row for each document."""
+    """doc_id, keep_id, group_size, kept and the columns of ``carry`` (narrow, computed in the third pass): one row for each document."""
     carry = carry or {}
     norm = normalised(text)
-    probe = docs.select(F.length(norm).alias("size"), F.xxhash64(F.substring(norm, 1, prefix)).alias("head"))
-    by_length = probe.groupBy("size", "head").agg(F.count("*").alias("n"))
-    # Length first: its counts are sums of the finer ones, so one shuffle of counts serves both steps.
-    by_length = materialise(by_length, "lengths")
-    lengths = by_length.groupBy("size").agg(F.sum("n").alias("of_size")).filter("of_size > 1").select("size")
-    twice = by_length.filter("n > 1").join(lengths, "size", "left_semi").select(F.xxhash64("size", "head").alias("key"))
-    bitmap = materialise(_bitmap(twice, "key"), "bitmap")
-
-    key = F.xxhash64(F.length("_norm"), F.xxhash64(F.substring("_norm", 1, prefix)))
+    size, head = F.length("_norm").cast("long"), F.xxhash64(F.substring("_norm", 1, prefix))
+    lengths = materialise(docs.select(F.length(norm).cast("long").alias("size")).groupBy("size").agg(F.count("*").alias("n")).filter("n > 1").select("size"), "lengths")
+    by_length, length_bits = _bitmap(lengths, "_lengths")
+    by_length = materialise(by_length, "bitmap")
+
+    # The bitmaps are single rows of bounded size.
+    long_enough = docs.select(norm.alias("_norm")).crossJoin(F.broadcast(by_length)).filter(_set_in("_lengths", length_bits, size))
+    twice = long_enough.select(size.alias("size"), head.alias("head")).groupBy("size", "head").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = materialise(twice.select(F.xxhash64("size", "head").alias("key")), "prefixes")
+    by_prefix, prefix_bits = _bitmap(twice, "_prefixes")
+    by_prefix = materialise(by_prefix, "bitmap")
+
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), norm.alias("_norm"), *(c.alias(f"_carry_{k}") for k, c in carry.items()))
-    rows = rows.withColumn("_bit", F.pmod(key, F.lit(64 * BITMAP_LONGS))).crossJoin(F.broadcast(bitmap))  # one row of fixed size
-    maybe = F.expr("(shiftrightunsigned(bitmap[cast(_bit div 64 as int)], cast(_bit % 64 as int)) & 1) = 1")
-    rows = rows.select("_id", F.when(maybe, F.sha2("_norm", 256)).alias("_full"), *(f"_carry_{k}" for k in carry))
+    rows = rows.crossJoin(F.broadcast(by_length)).crossJoin(F.broadcast(by_prefix))
+    again = _set_in("_prefixes", prefix_bits, F.xxhash64(size, head))
+    full = F.when(_set_in("_lengths", length_bits, size), F.when(again, F.sha2("_norm", 256)))
+    rows = rows.select("_id", full.alias("_full"), *(f"_carry_{k}" for k in carry))
     rows = materialise(rows, "hashed")
     several = rows.filter("_full is not null")
     groups = materialise(several.groupBy("_full").agg(F.min("_id").alias("_keep"), F.count("*").alias("_n")).filter("_n > 1"), "groups")
@@ -64,7 +76,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     joined = several.join(F.broadcast(groups) if small_enough(groups, BROADCAST_GROUPS) else groups, "_full", "left")
     alone = rows.filter("_full is null").withColumns({"_keep": F.lit(None).cast("long"), "_n": F.lit(None).cast("long")})
     out = joined.unionByName(alone)
-    drop(by_length)
+    drop(lengths, by_length, twice, by_prefix)
     keep = F.when(F.col("_n").isNotNull(), F.col("_keep")).otherwise(F.col("_id"))
     return out.select(
         F.col("_id").alias("doc_id"), keep.alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),

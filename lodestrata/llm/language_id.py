@@ -10,9 +10,11 @@ all rows then estimates from the texts' own posteriors
 * how often they have each address suffix (the host's last label), and
 * each host's prior, smoothed towards its domain's, that towards the whole's;
 
-a row's own share is taken out of its host's and domain's counts first. The sum
-of all evidence gives the posterior. ``accepted`` rows have a known language of
-probability :data:`ACCEPT` or more.
+a row's own share is taken out of the counts of its declaration, suffix, host and
+domain first. The sum of all evidence gives the posterior. ``accepted`` rows have a
+known language of probability :data:`ACCEPT` or more.
+
+Every language with a training row is learnt; each is one array of fixed size.
 
 Cases: a row without three letters has no text evidence, gets ``und`` and is not
 accepted. A null declaration or url adds no evidence. Repeated rows count as
@@ -26,23 +28,26 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import blocks, materialise, text_buffers
+from lodestrata.llm.common import blocks, bounded_batches, materialise, release_tools, small_enough, text_buffers
 from lodestrata.llm.textops import LOWER
 from lodestrata.llm.url_filter import host_and_path
 
 UNKNOWN = "und"
-#: Training rows of each language (those of the least hash of their id) and languages at most.
-SAMPLE_ROWS, MAX_LANGUAGES = 400, 64
+#: Training rows of each language (those of the least hash of their id) at most.
+SAMPLE_ROWS = 400
 BUCKETS = 1 << 16
 EFFECTIVE, ACCEPT = 150, 0.5
 #: Weight of a prior in rows: domain towards all, host towards domain; counts added to each likelihood.
 SMOOTH, ADD = 8.0, 1.0
+#: Bytes of priors by host that may be broadcast.
+PRIOR_BYTES = 16 << 20
 
-_MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_RAW = re.compile(r"<(script|style)\b", re.I)
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+_HTML, _LANG = re.compile(r"<html\b", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 
 
 def _trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,21 +74,19 @@ def train(rows: DataFrame, text: str = "text", language: str = "lang", key: str
     The sample is bounded by ``sample_rows`` texts of each language; the counts of a
     language are one fixed-size array.
     """
-    named = rows.filter(F.col(language).isNotNull() & (F.trim(language) != "") & F.col(text).isNotNull()).select(F.lower(language).alias("lang"), F.col(key).cast("long").alias("key"))
-    languages = sorted(r.lang for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-    counts = np.zeros((len(languages) + 1, BUCKETS))
+    named = rows.filter(F.col(language).isNotNull() & (F.trim(language) != "") & F.col(text).isNotNull()).select(F.lower(language).alias("_l"), F.col(key).cast("long").alias("key"))
+    # One scan; Spark keeps the first rows of each language on the map side, so no language is gathered in one task.
+    rank = F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("key"), "key"))
+    ids = materialise(named.withColumn("_n", rank).filter(F.col("_n") <= sample_rows).select("key", "_l").distinct(), "sample")
+    languages = sorted(r["_l"] for r in ids.select("_l").distinct().collect())  # one row for each language
+    counts = np.zeros((len(languages) + 1, BUCKETS), np.float32)
     if languages:
-        picked = []
-        for lang in languages:  # a top-k by hash: bounded, and no language is gathered in one task
-            picked.append(named.filter(F.col("lang") == lang).orderBy(F.xxhash64("key"), "key").limit(sample_rows))
-        ids = picked[0]
-        for more in picked[1:]:
-            ids = ids.unionByName(more)
-        ids = materialise(ids.select("key", F.col("lang").alias("_l")).distinct(), "sample")  # at most sample_rows * MAX_LANGUAGES rows
-        chosen = rows.select(F.col(key).cast("long").alias("key"), F.lower(language).alias("_l"), F.col(text).alias("text")).join(F.broadcast(ids), ["key", "_l"], "left_semi")
+        chosen = rows.select(F.col(key).cast("long").alias("key"), F.lower(language).alias("_l"), F.col(text).alias("text"))
+        chosen = chosen.join(F.broadcast(ids) if small_enough(ids) else ids, ["key", "_l"], "left_semi")
 
         def run(batches):
-            total = np.zeros((len(languages), BUCKETS), np.int64)
+            release_tools()
+            total: dict[str, np.ndarray] = {}  # of the languages that this task meets
             for batch in batches:
                 names = batch.column(0).to_pylist()
                 raw, offsets = text_buffers(batch.column(1))
@@ -92,35 +95,85 @@ def train(rows: DataFrame, text: str = "text", language: str = "lang", key: str
                     bucket, ok = _trigrams(raw[offsets[i] : offsets[j]], own)
                     for k in range(j - i):
                         span = slice(own[k], own[k + 1])
-                        total[languages.index(names[i + k])] += np.bincount(bucket[span][ok[span]], minlength=BUCKETS)
-            at = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(total[at])], ["l", "b", "n"])
+                        total.setdefault(names[i + k], np.zeros(BUCKETS, np.int64))
+                        total[names[i + k]] += np.bincount(bucket[span][ok[span]], minlength=BUCKETS)
+            for name, n in total.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([languages.index(name)] * len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["l", "b", "n"])
 
         grouped = chosen.select("_l", "text").mapInArrow(run, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
-        for r in grouped.toLocalIterator():  # at most languages * BUCKETS rows
-            counts[r.l, r.b] = r.n
-    p = counts + 0.5
-    p[-1] = 1
-    return [*languages, UNKNOWN], np.log(p / p.sum(1, keepdims=True)).astype(np.float32)
+        with bounded_batches(rows.sparkSession):
+            for r in grouped.toLocalIterator():  # at most languages * BUCKETS rows
+                counts[r.l, r.b] = r.n
+    counts += 0.5
+    counts[-1] = 1
+    return [*languages, UNKNOWN], np.log(counts / counts.sum(1, keepdims=True, dtype=np.float64)).astype(np.float32)
 
 
 def _text_of(html: str | None) -> str:
-    return "" if html is None else _MARKUP.sub(" ", html)
+    """The text outside of tags, comments, scripts and styles, in one pass.
+
+    What is not closed is no such thing: of an unclosed comment or script only the
+    tag goes, and a ``<`` without any ``>`` behind it is text.
+    """
+    if html is None:
+        return ""
+    out, at, closed = [], 0, {"comment": True, "script": True, "style": True}
+    while (lt := html.find("<", at)) >= 0:
+        out.append(html[at:lt])
+        end = -1
+        if closed["comment"] and html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4)
+            closed["comment"] = end >= 0  # if none is left here, none is further on
+            end += 3 if end >= 0 else 0
+        elif m := _RAW.match(html, lt):
+            name = m[1].lower()
+            last = _CLOSING[name].search(html, m.end()) if closed[name] else None
+            closed[name] = last is not None
+            end = last.end() if last else -1
+        if end < 0:
+            end = html.find(">", lt) + 1
+            if not end:
+                out[-1] += html[lt:]
+                return " ".join(out)
+        at = end
+    out.append(html[at:])
+    return " ".join(out)
+
+
+def _declared(html: str | None) -> str | None:
+    """The language that the first ``html`` tag declares."""
+    m = html and _HTML.search(html)
+    if not m:
+        return None
+    end = html.find(">", m.end())
+    found = _LANG.search(html, m.end(), end if end >= 0 else len(html))
+    return found[1].lower() if found else None
+
+
+def softmax(a: np.ndarray) -> np.ndarray:
+    e = np.exp(a - a.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _rows(a: np.ndarray) -> pa.Array:
+    """A matrix as a column of lists."""
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(a).reshape(-1)), a.shape[1]).cast(pa.list_(pa.float64()))
 
 
 def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str, markup: bool, declared: str | None, host, key: str) -> DataFrame:
-    """key, host, declared, n (trigrams) and score (log-likelihood of each language): one narrow row for each row."""
+    """key, host, declared, n (trigrams), score (log-likelihood of each language) and p (the text's own posterior, zeros without text): one narrow row for each row."""
     languages, loglik = model
     shared = rows.sparkSession.sparkContext.broadcast(loglik)  # (languages + 1) * BUCKETS floats
 
     def run(batches):
+        release_tools()
         table = shared.value
         for batch in batches:
             column, named = batch.column(3), batch.column(2)
             if markup:
                 pages = column.to_pylist()
-                found = [None if p is None else _DECLARED.search(p) for p in pages]
-                named = pa.array([m.group(1).lower() if m else None for m in found], pa.string())
+                named = pa.array(map(_declared, pages), pa.string())
                 column = pa.array([_text_of(p) for p in pages], pa.string())
             raw, offsets = text_buffers(column)
             for i, j in blocks(offsets):
@@ -135,56 +188,51 @@ def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], text: st
                     np.cumsum(v, dtype=np.float64, out=total[1:])
                     score[:, k] = total[own[1:]] - total[own[:-1]]
                 score *= np.minimum(1.0, EFFECTIVE / np.maximum(n, 1))[:, None]
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(score.reshape(-1)), len(languages)).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), named.slice(i, j - i), pa.array(n.astype(np.int64)), lists], ["key", "host", "declared", "n", "score"])
+                p = np.where((n > 0)[:, None], softmax(score), 0.0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), named.slice(i, j - i), pa.array(n.astype(np.int64)), _rows(score), _rows(p)], ["key", "host", "declared", "n", "score", "p"])
 
     columns = [F.col(key).cast("long").alias("key"), host.alias("host"), (F.lower(declared) if declared else F.lit(None)).cast("string").alias("declared"), F.col(text).alias("text")]
-    return rows.select(*columns).mapInArrow(run, "key long, host string, declared string, n long, score array<double>")
-
-
-def _softmax(a):
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    return rows.select(*columns).mapInArrow(run, "key long, host string, declared string, n long, score array<double>, p array<double>")
 
 
 def fuse(evidence: DataFrame, languages: list[str], accept: float = ACCEPT) -> DataFrame:
     """key, host, declared, lang, probability, accepted, from :func:`text_evidence`'s rows (materialised)."""
     k = len(languages)
-    soft = evidence.withColumn("p", F.when(F.col("n") > 0, _softmax("score")).otherwise(F.array(*[F.lit(0.0)] * k)))
-    soft = soft.withColumn("domain", F.regexp_extract("host", r"[^.]+\.[^.]+$|^[^.]+$", 0)).withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1))
-    sums = lambda: [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(k)]
+    soft = evidence.withColumn("domain", F.regexp_extract("host", r"[^.]+\.[^.]+$|^[^.]+$", 0)).withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1))
+    sums = lambda c: [F.sum(F.col(c)[i]).alias(f"s{i}") for i in range(k)]
     vector = F.array(*[F.col(f"s{i}") for i in range(k)])
-    by_host = soft.groupBy("host", "domain", "suffix").agg(*sums()).select("host", "domain", "suffix", vector.alias("of_host"))
-    by_host = materialise(by_host, "hosts")
-    up = lambda key, name: by_host.groupBy(key).agg(*[F.sum(F.col("of_host")[i]).alias(f"s{i}") for i in range(k)]).select(*([key] if isinstance(key, str) else []), vector.alias(name))
-    total = by_host.agg(*[F.sum(F.col("of_host")[i]).alias(f"s{i}") for i in range(k)]).first()  # one row
+    by_host = materialise(soft.groupBy("host", "domain", "suffix").agg(*sums("p")).select("host", "domain", "suffix", vector.alias("of_host")), "hosts")
+    up = lambda key, name: by_host.groupBy(key).agg(*sums("of_host")).select(key, vector.alias(name))
+    total = by_host.agg(*sums("of_host")).first()  # one row
     overall = np.array([total[i] or 0.0 for i in range(k)]) + 1.0
-    base = F.array(*[F.lit(float(x)) for x in overall / overall.sum()])
-    rows_of = F.array(*[F.lit(float(x)) for x in overall])
-    zero = F.array(*[F.lit(0.0)] * k)
     n_suffix, n_declared = max(1, by_host.select("suffix").distinct().count()), max(1, evidence.select("declared").distinct().count())
-    likely = lambda c, kinds: F.transform(F.arrays_zip(c.alias("c"), rows_of.alias("r")), lambda z: F.log((z["c"] + ADD) / (z["r"] + ADD * kinds)))
-    suffix = up("suffix", "of_suffix")
-    table = by_host.join(up("domain", "of_domain"), "domain").join(suffix, "suffix")
-    table = table.select("host", "of_host", "of_domain", F.when(F.col("suffix") != "", likely(F.col("of_suffix"), n_suffix)).otherwise(zero).alias("by_suffix"))
-    named = soft.filter("declared is not null").groupBy("declared").agg(*sums()).select("declared", likely(vector, n_declared).alias("by_declared"))
-    full = soft.join(materialise(table, "priors"), "host", "left").join(materialise(named, "declared"), "declared", "left")
-    less = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x - y, F.lit(0.0)))
-    whole = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    smooth = lambda own, above: F.zip_with(own, above, lambda x, y: (x + SMOOTH * y) / (whole(own) + SMOOTH))
-    full = full.withColumn("d", less(F.coalesce("of_domain", zero), F.col("p"))).withColumn("h", less(F.coalesce("of_host", zero), F.col("p")))
-    full = full.withColumn("d", smooth(F.col("d"), base)).withColumn("h", smooth(F.col("h"), F.col("d")))
-    evidences = F.zip_with("score", F.transform("h", lambda x: F.log(x)), lambda x, y: x + y)
-    evidences = F.zip_with(evidences, F.coalesce("by_suffix", zero), lambda x, y: x + y)
-    evidences = F.zip_with(evidences, F.coalesce("by_declared", zero), lambda x, y: x + y)
-    full = full.withColumn("post", F.when(F.col("n") > 0, _softmax(evidences)))
-    best = F.array_max("post")
-    names = F.array(*[F.lit(x) for x in languages])
-    lang = F.coalesce(F.element_at(names, F.array_position("post", best).cast("int")), F.lit(UNKNOWN))
-    out = full.select("key", "host", "declared", lang.alias("lang"), F.coalesce(best, F.lit(0.0)).alias("probability"))
-    return out.withColumn("accepted", (F.col("lang") != UNKNOWN) & (F.col("probability") >= accept))
+    table = materialise(by_host.join(up("domain", "of_domain"), "domain").join(up("suffix", "of_suffix"), "suffix").select("host", "of_host", "of_domain", F.when(F.col("suffix") != "", F.col("of_suffix")).alias("of_suffix")), "priors")
+    named = materialise(soft.filter("declared is not null").groupBy("declared").agg(*sums("p")).select("declared", vector.alias("of_declared")), "declared")
+    # Hot hosts and declarations load no task where these are broadcast; larger ones are plain sides of joins that Spark can split.
+    most = PRIOR_BYTES // (24 * k + 64)
+    full = evidence.join(F.broadcast(table) if small_enough(table, most) else table, "host", "left").join(F.broadcast(named) if small_enough(named, most) else named, "declared", "left")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            matrix = lambda name: batch.column(name).fill_null(pa.scalar([0.0] * k, pa.list_(pa.float64()))).flatten().to_numpy().reshape(-1, k)
+            score, own = matrix("score"), matrix("p")
+            less = lambda name: np.maximum(matrix(name) - own, 0.0)  # noqa: E731  without the row's own share
+            smooth = lambda x, above: (x + SMOOTH * above) / (x.sum(1, keepdims=True) + SMOOTH)
+            given = lambda name: np.array(batch.column(name).is_valid())[:, None]
+            prior = smooth(less("of_host"), smooth(less("of_domain"), overall / overall.sum()))
+            sum_ = score + np.log(prior)
+            for name, kinds in (("of_suffix", n_suffix), ("of_declared", n_declared)):
+                sum_ += np.where(given(name), np.log((less(name) + ADD) / (overall - own + ADD * kinds)), 0.0)
+            post = softmax(sum_)
+            best, some = post.argmax(1), batch.column("n").to_numpy() > 0
+            lang = np.where(some, np.array(languages, object)[best], UNKNOWN)
+            p = np.where(some, post[np.arange(len(post)), best], 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), batch.column("declared"), pa.array(lang, pa.string()), pa.array(p), pa.array((lang != UNKNOWN) & (p >= accept))], ["key", "host", "declared", "lang", "probability", "accepted"])
+
+    columns = ("key", "host", "declared", "n", "score", "p", "of_host", "of_domain", "of_suffix", "of_declared")
+    return full.select(*columns).mapInArrow(run, "key long, host string, declared string, lang string, probability double, accepted boolean")
 
 
 def page_languages(pages: DataFrame, training: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
@@ -195,8 +243,12 @@ def page_languages(pages: DataFrame, training: DataFrame, html: str = "html", ur
     return fuse(evidence, model[0]).withColumnRenamed("key", "page_id")
 
 
-def document_languages(docs: DataFrame, text: str = "text", declared: str = "lang", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, lang, probability, accepted: one row for each document; its source counts as host, its ``lang`` as declared."""
+def document_languages(docs: DataFrame, text: str = "text", declared: str = "lang", source: str = "source", doc_id: str = "doc_id", use_declared: bool = True) -> DataFrame:
+    """doc_id, lang, probability, accepted: one row for each document; its source counts as host.
+
+    ``declared`` labels the training rows. It is evidence for its own row as well
+    unless ``use_declared`` is false.
+    """
     model = train(docs, text, declared, doc_id)
-    evidence = materialise(text_evidence(docs, model, text, False, declared, F.coalesce(F.col(source), F.lit("")), doc_id), "evidence")
+    evidence = materialise(text_evidence(docs, model, text, False, declared if use_declared else None, F.coalesce(F.col(source), F.lit("")), doc_id), "evidence")
     return fuse(evidence, model[0]).select(F.col("key").alias("doc_id"), "lang", "probability", "accepted")

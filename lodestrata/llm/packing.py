@@ -119,7 +119,7 @@ def _pack(items: DataFrame, keys: list[str], tasks: int, level: int, capacity: i
         out = table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets)).append_column("open", pa.array(free[bins]))
         yield from out.to_batches()
 
-    schema = items.schema.add("sequence_id", "long").add("offset", "long").add("open", "boolean")
+    schema = items.select("*").schema.add("sequence_id", "long").add("offset", "long").add("open", "boolean")
     # Dealt in turn, not by a key: repeated rows make no task larger than another.
     return materialise(items.repartition(tasks).mapInArrow(run, schema), f"packed{level}")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import blocks, materialise, text_buffers
+from lodestrata.llm.common import blocks, bounded_batches, materialise, release_tools, text_buffers
 from lodestrata.llm.pretoken import DIGIT, LETTER, OTHER, SPACE, WHOLE, classes
 from lodestrata.llm.textops import hash_spans, sums_by_range
 
@@ -69,6 +69,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """The corpus's word vectors: ``BUCKETS`` rows of ``DIM``, centred and of unit length (a table of fixed size)."""
 
     def run(batches):
+        release_tools()
         place, sign = _index_vectors()
         total = np.zeros(BUCKETS * DIM)
         count = np.zeros(BUCKETS, np.int64)
@@ -92,7 +93,9 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     schema = "b int, n long, " + ", ".join(f"c{d} double" for d in range(DIM))
     sums = docs.select(F.col(text).alias("text")).mapInArrow(run, schema).groupBy("b").agg(F.sum("n").alias("n"), *(F.sum(f"c{d}").alias(f"c{d}") for d in range(DIM)))
     vectors, weight = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS)
-    for r in sums.collect():  # at most BUCKETS rows
+    with bounded_batches(docs.sparkSession):
+        rows = sums.collect()  # at most BUCKETS rows
+    for r in rows:
         vectors[r.b], weight[r.b] = [r[f"c{d}"] for d in range(DIM)], r.n
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors /= np.maximum(length, 1e-12)
@@ -140,18 +143,21 @@ def pool(vectors: np.ndarray, bucket: np.ndarray, kind: np.ndarray, first: np.nd
     return out
 
 
-def features(docs: DataFrame, vectors: np.ndarray, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and x (array of float): one narrow row for each document."""
+def features(docs: DataFrame, vectors: np.ndarray, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """doc_id, row (the column of longs so named, else doc_id) and x (array of float): one narrow row for each document."""
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS * DIM floats
 
     def run(batches):
+        release_tools()
         for batch in batches:
-            raw, offsets = text_buffers(batch.column(1))
+            raw, offsets = text_buffers(batch.column(2))
             for i, j in blocks(offsets):
                 x = pool(shared.value, *text_pieces(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), FEATURES).cast(pa.list_(pa.float32()))], ["doc_id", "x"])
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), FEATURES).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], ["doc_id", "row", "x"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, x array<float>")
+    columns = (F.col(doc_id).cast("long").alias("doc_id"), F.col(row or doc_id).cast("long").alias("row"), F.col(text).alias("text"))
+    return docs.select(*columns).mapInArrow(run, "doc_id long, row long, x array<float>")
 
 
 @dataclass
@@ -246,16 +252,16 @@ def fit(pooled: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return net
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row for each document, without shuffling texts."""
-    pooled = materialise(features(docs, word_vectors(docs, text), text, doc_id), "features")
+def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, row: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted: one row for each document, without shuffling texts; with ``row``, that column of longs too."""
+    pooled = materialise(features(docs, word_vectors(docs, text), text, doc_id, row), "features")
     net = fit(pooled, labels, sample_rows)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x))], ["doc_id", "score"])
+            x = batch.column(2).flatten().to_numpy().astype(np.float64).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared.value.score(x))], ["doc_id", "row", "score"])
 
-    scored = pooled.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = pooled.mapInArrow(run, "doc_id long, row long, score double")
+    return scored.select("doc_id", *([F.col("row").alias(row)] if row else []), F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

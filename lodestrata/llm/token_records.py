@@ -11,11 +11,13 @@ marks a null doc_id. ``part-NNNNN.idx`` holds, for shuffled reads, one
 checksum is zlib's CRC-32, masked by a rotation and an addition so that a
 checksum of data that holds checksums stays sound.
 
-Texts are range-partitioned and sorted by doc_id (ties by a hash of the text, so
-that one repeated id is not one task's burden), encoded and streamed to the
-shard of their partition; a shard appears under its name only when it is whole,
-and a repeated task writes the same bytes. Only one row for each shard reaches
-the driver.
+Texts are range-partitioned and sorted by doc_id (ties by a hash of the text and
+a row number, so that one repeated id, or row, is not one task's burden), encoded
+and streamed to the shard of their partition, of which there is one for each
+:data:`SHARD_BYTES` of text; a shard appears under its name only when it is
+whole, and a repeated task writes the same bytes. Only one row for each shard
+reaches the driver. Paths are qualified by Spark once, so that every executor
+writes to the same store; ``file:`` must be a folder that all of them share.
 
 Cases: null and empty texts are records with the end id alone; null ids come
 first; repeated rows are records of their own; an empty table has no records.
@@ -32,13 +34,17 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialise, new_path, tokenizer_path
+from lodestrata.llm.common import materialise, qualified, scratch_path, tokenizer_path
 from lodestrata.llm.library_tokens import encode_column
 
 #: Fixed values of the record format: rotation and constant of the checksum's mask.
 MASK_ROTATE, MASK_ADD = 15, 0xA282EAD8
 _HEAD = struct.Struct("<BBq")
 _INDEX = struct.Struct("<qQQ")
+#: Bytes of text of one shard, and the least for which cores that would be idle get a shard of their own.
+SHARD_BYTES, LEAST_BYTES = 32 << 20, 1 << 20
+#: Index entries read at once.
+INDEX_ROWS = 8192
 MANIFEST = "shard int, path string, records long, tokens long"
 
 
@@ -61,14 +67,24 @@ def index_entry(doc_id: int | None, at: int, size: int) -> bytes:
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """The store of a qualified path, and the path within it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def shards_for(docs: DataFrame, text: str) -> int:
+    """One shard for each ``SHARD_BYTES`` of text, and no idle cores where there is less."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(1, -(-total // SHARD_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, total // LEAST_BYTES))
 
 
 def write_records(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None, partitions: int | None = None, width: int = 2) -> DataFrame:
     """Write ``docs`` in ascending doc_id order to shards under ``path``; one manifest row for each shard."""
     spark = docs.sparkSession
     vocabulary = vocabulary or tokenizer_path("word_bpe_49k.json")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = qualified(spark, path)
+    n = partitions or shards_for(docs, text)
 
     def run(batches):
         from pyspark import TaskContext
@@ -98,23 +114,23 @@ def write_records(docs: DataFrame, path: str, text: str = "text", doc_id: str =
         if records:
             for kind in ("rec", "idx"):
                 store.move(f"{tmp}.{kind}", f"{name}.{kind}")
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": name, "records": records, "tokens": tokens}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("tokens", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{path}/part-{shard:05d}", "records": records, "tokens": tokens}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("tokens", pa.int64())]))
         else:
             for kind in ("rec", "idx"):
                 store.delete_file(f"{tmp}.{kind}")
 
-    key, tie = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    key, tie = F.col("doc_id").asc_nulls_first(), (F.xxhash64("text"), F.monotonically_increasing_id())
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialise(rows.repartitionByRange(n, key, tie).sortWithinPartitions(key, tie).mapInArrow(run, MANIFEST), "manifest")
+    return materialise(rows.repartitionByRange(n, key, *tie).sortWithinPartitions(key, tie[0]).mapInArrow(run, MANIFEST), "manifest")
 
 
 def iterate_shard(path: str):
     """Yields ``(doc_id, ids)`` of one shard in order, finding records by the index and checking every checksum."""
     store, base = _filesystem(path)
-    index = store.open_input_stream(f"{base}.idx").read()
-    with store.open_input_file(f"{base}.rec") as f:
-        for _, at, size in _INDEX.iter_unpack(index):
-            yield read_record(f, at, size)
+    with store.open_input_stream(f"{base}.idx") as index, store.open_input_file(f"{base}.rec") as f:
+        while entries := index.read(_INDEX.size * INDEX_ROWS):
+            for _, at, size in _INDEX.iter_unpack(entries):
+                yield read_record(f, at, size)
 
 
 def read_record(f, at: int, size: int) -> tuple[int | None, np.ndarray]:
@@ -159,4 +175,4 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 def token_records(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Write all of ``docs`` and read the files back; see :func:`write_records` and :func:`read_records`."""
     spark = docs.sparkSession
-    return read_records(spark, write_records(docs, path or new_path(spark, "records"), **options))
+    return read_records(spark, write_records(docs, path or scratch_path(spark, "records"), **options))

@@ -25,9 +25,8 @@ from lodestrata.llm.common import materialise, small_enough
 
 #: Host, path and verdict of the fixed rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.5
-#: Labelled rows that must hold a rule's tokens and label, however few rows are labelled.
-MIN_ROWS = 30
+#: Labelled rows that must hold a rule's tokens and label, however many rows are labelled; and the share of bad rows among those that hold its tokens.
+MIN_ROWS, MIN_CONFIDENCE = 30, 0.5
 BAD = "label:bad"
 
 
@@ -63,10 +62,11 @@ def fixed_rule(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     return name, verdict
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """antecedent, confidence, support of the kept rules, from rows with ``tokens`` and a boolean ``bad``."""
     baskets = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    min_support = max(min_support, MIN_ROWS / max(1, labelled.count()))
+    # Half a row less, as the library rounds the product of share and rows up.
+    min_support = (min_rows - 0.5) / max(1, labelled.count())
     if min_support > 1:
         return labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
@@ -78,7 +78,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     return found.join(needless, "antecedent", "left_anti")
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame | None = None, url: str = "url", page_id: str = "page_id", rules: Sequence[tuple[str, str, str]] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame | None = None, url: str = "url", page_id: str = "page_id", rules: Sequence[tuple[str, str, str]] = RULES, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict, confidence (of the best mined rule that matched): one row for each page.
 
     ``labels`` has doc_id, quality and toxic; a page is labelled through the
@@ -98,7 +98,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame | None = None, url: str = "u
         labelled = rows.filter(number != "").withColumn("doc_id", number.cast("long")).join(known, "doc_id").select("tokens", "bad")
         labelled = materialise(labelled, "labelled")
         if not labelled.isEmpty():
-            kept = mine_rules(labelled, min_support, min_confidence)
+            kept = mine_rules(labelled, min_rows, min_confidence)
             often = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
             filed = kept.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(often, "token").groupBy("antecedent", "confidence").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
             filed = materialise(filed, "index")
