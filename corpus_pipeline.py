@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages: quality, language, exact dedup, near-dedup, packing.
 
-Each stage takes the documents that its predecessor kept, written as Parquet.
-Rows that share a doc_id are one document: they stay or go together. Rows with
-a null doc_id have no key to be rejected by, so only packing treats them.
+Each stage takes the documents that its predecessor kept, written as Parquet, and
+decides by row: rows that share a doc_id, or have none, are documents of their own
+(:func:`lodestrata.llm.common.numbered`), and of equal ones only the first stays.
 """
 
 from __future__ import annotations
@@ -11,35 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import exact_dedup, language_id, minhash_dedup, packing, quality
-from lodestrata.llm.common import materialise, small_enough
-
+from lodestrata.llm.common import free_name, materialise, numbered, small_enough
 
 #: Similarity in hundredths from which documents are near copies here; op1's query asks for a stricter cut of its own.
 NEAR_PERCENT = 80
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` less those whose doc_id is in ``rejected``; texts are shuffled only if that is too long to broadcast."""
-    ids = materialise(rejected.select(F.col("doc_id").alias("_rejected")).filter("_rejected is not null").distinct(), "rejected")
+def without(docs: DataFrame, row: str, rejected: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose number is in ``rejected`` (one column), and less the numbers; texts are shuffled only if those are too many to broadcast."""
+    name = free_name(docs, "_rejected")
+    ids = materialise(rejected.toDF(name), "rejected")
     ids = F.broadcast(ids) if small_enough(ids) else ids
-    return docs.join(ids, docs["doc_id"] == F.col("_rejected"), "left_anti")
+    return docs.join(ids, F.col(row) == F.col(name), "left_anti").drop(row)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    own, row = numbered(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return without(docs, quality.score_documents(docs, labels).filter("predicted = 0"))
+    return without(own, row, quality.score_documents(own, labels, row=row).filter("predicted = 0").select(row))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, language_id.document_languages(docs).filter("not accepted"))
+    # A document's ``lang`` is what the model learns from, and no evidence for the document itself.
+    own, row = numbered(docs)
+    return without(own, row, language_id.document_languages(own, doc_id=row, use_declared=False).filter("not accepted").select("doc_id"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, exact_dedup.exact_duplicates(docs).filter("not kept"))
+    own, row = numbered(docs)
+    return without(own, row, exact_dedup.exact_duplicates(own, doc_id=row).filter("not kept").select("doc_id"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, minhash_dedup.near_duplicates(docs, percent=NEAR_PERCENT).filter("not kept"))
+    own, row = numbered(docs)
+    return without(own, row, minhash_dedup.near_duplicates(own, doc_id=row, percent=NEAR_PERCENT).filter("not kept").select("doc_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
