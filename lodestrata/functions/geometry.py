@@ -27,6 +27,16 @@ def bbox(geometry: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["xmin", "ymin", "xmax", "ymax"], dtype="float64")
 
 
+_BOX_3D = T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin", "zmin", "xmax", "ymax", "zmax")])
+
+
+@F.pandas_udf(_BOX_3D)
+def bbox_3d(geometry: pd.Series) -> pd.DataFrame:
+    """Box of each geometry with heights (0 where there are none); nulls for null and empty ones."""
+    rows = [(wkt.bbox_3d(wkt.parse(g)) if g else None) or (None,) * 6 for g in geometry]
+    return pd.DataFrame(rows, columns=_BOX_3D.names, dtype="float64")
+
+
 def spatial(op: str, geometry: Column, literal: wkt.Geometry) -> Column:
     """A predicate between a WKT column and one literal geometry."""
     text = wkt.to_wkt(literal)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -118,17 +119,17 @@ def flatten_array(c: Column, kind: T.ArrayType, name: str, separator: str) -> Co
 
 
 def remove_empty(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Objects without any value and empty arrays become null, but for the required ones."""
+    """Objects without any value and empty arrays become null, but for the required ones (of whom the parts are still cleaned)."""
 
     def clean(c: Column, kind, name: str) -> Column:
-        if name in keep:
-            return c
         if isinstance(kind, T.ArrayType):
-            return F.when(F.size(c) > 0, c)
+            if isinstance(kind.elementType, T.StructType):
+                c = F.transform(c, lambda x: clean(x, kind.elementType, name + "[]"))
+            return c if name in keep else F.when(F.size(c) > 0, c)
         if isinstance(kind, T.StructType):
-            inner = [clean(c[f.name], f.dataType, f"{name}.{f.name}").alias(f.name) for f in kind.fields]
-            s = F.struct(*inner)
-            return F.when(F.coalesce(*(s[n].cast("string") if not isinstance(kind[n].dataType, T.StructType | T.ArrayType) else F.to_json(s[n]) for n in kind.names)).isNotNull(), s)
+            s = F.struct(*(clean(c[f.name], f.dataType, f"{name}.{f.name}").alias(f.name) for f in kind.fields))
+            some = reduce(lambda a, b: a | b, (s[n].isNotNull() for n in kind.names))
+            return F.when(c.isNotNull(), s) if name in keep else F.when(some, s)
         return c
 
     return df.select(*(clean(F.col(f.name), f.dataType, f.name).alias(f.name) for f in df.schema.fields))

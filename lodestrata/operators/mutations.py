@@ -1,14 +1,15 @@
 """Create, replace, patch and delete of features, as new versions of the tables below a type.
 
 Tables are values here: each mutation returns the changed tables, to be written
-with :func:`commit`, which swaps a table's folder only once the new one is whole.
+with :func:`commit` as a new version beside the old one; :func:`current` reads the
+newest version that is whole, so a crash at any point leaves a table to read.
 Replacing is deleting by id and inserting with the id kept; a patch first folds
 the changed values over the stored ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.schema.model import FeatureType
@@ -29,8 +30,10 @@ def insert(tables: dict[str, DataFrame], t: FeatureType, features: DataFrame) ->
     out[main] = tables[main].unionByName(features.select(*(c.alias(n) for n, c in columns.items())), allowMissingColumns=True)
     for p in t.properties:
         path = parse_path(p.source_path)
-        if not path.steps or p.name not in features.columns or len(path.steps) > 2:
+        if not path.steps or p.name not in features.columns:
             continue
+        if len(path.steps) > 2:
+            raise ValueError(f"{t.name}.{p.name}: a path of more than two relations cannot be written")
         child = path.steps[-1].table
         source = columns.get(path.steps[0].source, F.col(id_leaf.name))
         many = features.select(source.alias("_link"), F.explode(p.name).alias("_v")) if p.type.endswith("ARRAY") else features.select(source.alias("_link"), F.col(p.name).alias("_v")).filter("_v is not null")
@@ -77,16 +80,38 @@ def patch(tables: dict[str, DataFrame], t: FeatureType, changes: DataFrame) -> d
     return out
 
 
+def stats(t: FeatureType, features: DataFrame, point: tuple[str, str] | None = None) -> DataFrame:
+    """What a mutation touched, for its listeners: n_features, box and first and last instant, in one pass."""
+    columns = [F.count("*").alias("n_features")]
+    if point:
+        x, y = map(F.col, point)
+        columns += [F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax")]
+    if (at := t.with_role("PRIMARY_INSTANT")) and at.name in features.columns:
+        columns += [F.min(at.name).alias("first"), F.max(at.name).alias("last")]
+    return features.agg(*columns)
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[object, list[str]]:
+    """The path's file system, and its whole versions, oldest first."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
+    whole = [n for n in names if n.startswith("v-") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return fs, whole
+
+
 def commit(table: DataFrame, path: str) -> None:
-    """Write a table beside its old version and swap the folders."""
+    """Write a table's next version. It counts once its last file, the marker of success, is there; the one before stays for its readers."""
     spark = table.sparkSession
-    jvm = spark.sparkContext._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    new, old = fs_path(path + ".new"), fs_path(path + ".old")
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    table.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    if fs.exists(fs_path(path)):
-        fs.rename(fs_path(path), old)
-    fs.rename(new, fs_path(path))
-    fs.delete(old, True)
+    fs, whole = _versions(spark, path)
+    table.write.mode("overwrite").parquet(f"{path}/v-{int(whole[-1][2:]) + 1 if whole else 1:012d}")
+    for old in whole[:-1]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}"), True)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version that :func:`commit` wrote."""
+    _, whole = _versions(spark, path)
+    if not whole:
+        raise ValueError(f"no table was committed to {path}")
+    return spark.read.parquet(f"{path}/{whole[-1]}")

@@ -51,17 +51,32 @@ def distances(edges: DataFrame, start: int, max_rounds: int = MAX_ROUNDS) -> Dat
     raise RuntimeError("the relaxation did not settle")
 
 
+#: Steps of a route that one job walks back.
+HOPS = 16
+
+
+def _walk_back(known: DataFrame, node: int) -> list:
+    """node, edge_id and cost of the way to ``node``, from its end; none if it was not reached. Each job takes ``HOPS`` steps."""
+    path = []
+    columns = F.struct("node", "cost", "edge_id", "previous")
+    while node is not None:
+        at = known.filter(F.col("node") == node).select(columns.alias("h0"))
+        for i in range(1, HOPS):  # one row meets the table, so it is the side to broadcast
+            before = known.select(columns.alias(f"h{i}"))
+            at = before.join(F.broadcast(at), F.col(f"h{i}.node") == F.col(f"h{i - 1}.previous"), "right")
+        row = at.first()
+        if row is None:
+            return []
+        steps = [row[f"h{i}"] for i in range(HOPS) if row[f"h{i}"] is not None]
+        path += steps
+        node = steps[-1].previous
+    return path
+
+
 def route(edges: DataFrame, stops: list[int]) -> DataFrame:
     """leg, seq, node, edge_id, cost of the cheapest way through the stops; an unreachable stop ends it with no rows for that leg."""
     spark, rows = edges.sparkSession, []
     for leg, (a, b) in enumerate(zip(stops, stops[1:], strict=False)):
-        known, path, at = distances(edges, a), [], b
-        while at is not None:  # as many steps as the route has edges
-            r = known.filter(F.col("node") == at).first()
-            if r is None:
-                path = []
-                break
-            path.append(r)
-            at = r.previous
+        path = _walk_back(distances(edges, a), b)
         rows += [(leg, i, r.node, r.edge_id, r.cost) for i, r in enumerate(reversed(path))]
     return spark.createDataFrame(rows, "leg int, seq int, node long, edge_id long, cost double")

@@ -7,14 +7,16 @@ import struct
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import crs as C
 from lodestrata.functions import geometry as G
-from lodestrata.functions import wkt
+from lodestrata.functions import predicates, wkt
 
 EXTENT, BUFFER, TILE_PIXELS = 4096, 8, 256
+#: Features of one tile at most.
+LIMIT = 100_000
 
 
 @dataclass(frozen=True)
@@ -265,7 +267,7 @@ def encode_layer(name: str, features: list[tuple[int | None, wkt.Geometry, dict]
 
 
 def merge_features(features: list[tuple[int | None, wkt.Geometry, dict]], group_by: tuple[str, ...]) -> list[tuple[int | None, wkt.Geometry, dict]]:
-    """Features of equal ``group_by`` values as one: lines joined end to end, polygons collected; equal properties stay."""
+    """Features of equal ``group_by`` values as one: lines joined end to end, polygons dissolved; equal properties stay."""
     groups: dict[tuple, list] = {}
     for f in features:
         groups.setdefault((f[1][0], *(f[2].get(k) for k in group_by)), []).append(f)
@@ -277,11 +279,57 @@ def merge_features(features: list[tuple[int | None, wkt.Geometry, dict]], group_
         parts = [x for m in members for x in m[1][1]]
         if kind == "MultiLineString":
             parts = join_lines(parts)
+        elif kind == "MultiPolygon":
+            parts = dissolve(parts)
         same = {k: v for k, v in members[0][2].items() if all(m[2].get(k) == v for m in members)}
         out.append((None, (kind, parts), same))
     return out
 
 
+def dissolve(polygons: list[list]) -> list[list]:
+    """Polygons that share edges as one: edges that two of them run along, in opposite directions, go, and what is left is chained anew.
+
+    Polygons that overlap without sharing edges stay beside each other. Rings that are not closed by what is left are kept as they were.
+    """
+    edges: dict[tuple, list[tuple]] = {}
+    count = 0
+    for p in polygons:
+        for i, r in enumerate(p):
+            r = r if (G.signed_area(r) > 0) == (i == 0) else r[::-1]  # outer rings one way round, holes the other
+            for a, b in zip(r, r[1:], strict=False):
+                a, b = tuple(a[:2]), tuple(b[:2])
+                if a in edges.get(b, ()):
+                    edges[b].remove(a)
+                    count += 1
+                else:
+                    edges.setdefault(a, []).append(b)
+    if not count:
+        return polygons
+    rings = []
+    for start in list(edges):
+        path, place = [start], {start: 0}
+        while edges.get(path[-1]):
+            nxt = edges[path[-1]].pop()
+            if nxt in place:  # a ring is closed; one that touches itself is cut at its corner
+                k = place[nxt]
+                rings.append([list(q) for q in (*path[k:], nxt)])
+                for q in path[k + 1 :]:
+                    del place[q]
+                del path[k + 1 :]
+            else:
+                place[nxt] = len(path)
+                path.append(nxt)
+        if len(path) > 1:
+            return polygons
+    outer = [[r] for r in rings if G.signed_area(r) > 0]
+    for hole in (r for r in rings if G.signed_area(r) < 0):
+        for p in outer:
+            if predicates._in_ring(tuple(predicates._interior_point([hole])), [tuple(c) for c in p[0]]) != predicates.OUT:
+                p.append(hole)
+                break
+    return outer
+
+
 def join_lines(lines: list[list]) -> list[list]:
     """Lines that share an end with exactly one other become one line."""
     lines = [list(x) for x in lines]
@@ -299,11 +347,14 @@ def join_lines(lines: list[list]) -> list[list]:
         lines = [v for i, v in enumerate(lines) if i not in (a, b)] + [x + y[1:]]
 
 
-def encode_tiles(features: DataFrame, grid: Grid, layer: str, geometry: str = "geometry", fid: str | None = None, properties: tuple[str, ...] = (), group_by: tuple[str, ...] = ()) -> DataFrame:
+def encode_tiles(features: DataFrame, grid: Grid, layer: str, geometry: str = "geometry", fid: str | None = None, properties: tuple[str, ...] = (), group_by: tuple[str, ...] = (), limit: int = LIMIT, merge: bool | None = None) -> DataFrame:
     """level, row, col, layer, n_features, data from rows with level, row, col and WKT in the grid's CRS.
 
-    A tile is one group; its features are bounded by what one map tile can show.
+    A tile is one group of ``limit`` features at most, those of the least id; the others never reach its task.
     """
+    merge = bool(group_by) if merge is None else merge
+    rank = F.row_number().over(Window.partitionBy("level", "row", "col").orderBy(fid or geometry))
+    features = features.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
 
     def encode(key, pdf: pd.DataFrame) -> pd.DataFrame:
         level, row, col = map(int, key)
@@ -315,7 +366,7 @@ def encode_tiles(features: DataFrame, grid: Grid, layer: str, geometry: str = "g
             if g:
                 plain = {k: (None if pd.isna(r[k]) else r[k].item() if hasattr(r[k], "item") else r[k]) for k in properties}
                 found.append((int(r[fid]) if fid else None, g, plain))
-        found = merge_features(found, group_by) if group_by else found
+        found = merge_features(found, group_by) if merge else found
         return pd.DataFrame([{"level": level, "row": row, "col": col, "layer": layer, "n_features": len(found), "data": encode_layer(layer, found) if found else b""}])
 
     return features.groupBy("level", "row", "col").applyInPandas(encode, "level int, row int, col int, layer string, n_features long, data binary")
@@ -344,7 +395,7 @@ def write_tiles(tiles: DataFrame, path: str, tileset: str) -> None:
     tiles.withColumn("tileset", F.lit(tileset)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tileset", "level").parquet(path)
 
 
-def write_mbtiles(tiles: DataFrame, path: str, name: str) -> int:
+def write_mbtiles(tiles: DataFrame, path: str, name: str, grid: Grid = GRIDS["WebMercatorQuad"]) -> int:
     """A single-file MBTiles store of a bounded tileset, streamed to the driver; rows count from the south there."""
     import sqlite3
 
@@ -354,6 +405,6 @@ def write_mbtiles(tiles: DataFrame, path: str, name: str) -> int:
         db.execute("CREATE TABLE tiles (zoom_level integer, tile_column integer, tile_row integer, tile_data blob, PRIMARY KEY (zoom_level, tile_column, tile_row))")
         db.executemany("INSERT INTO metadata VALUES (?, ?)", [("name", name), ("format", "pbf")])
         for r in tiles.select("level", "row", "col", "data").toLocalIterator():
-            db.execute("INSERT OR REPLACE INTO tiles VALUES (?, ?, ?, ?)", (r.level, r.col, (1 << r.level) - 1 - r.row, bytes(r.data)))
+            db.execute("INSERT OR REPLACE INTO tiles VALUES (?, ?, ?, ?)", (r.level, r.col, grid.size(r.level)[1] - 1 - r.row, bytes(r.data)))
             n += 1
     return n

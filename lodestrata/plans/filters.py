@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from functools import reduce
 from itertools import count
 
@@ -17,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.cql import checks
-from lodestrata.cql.ast import ARRAY, SPATIAL, Array, Func, Geom, Lit, Op, Prop, transform, walk
+from lodestrata.cql.ast import ARRAY, SPATIAL, Array, Bbox, Func, Geom, Lit, Op, Prop, transform, walk
 from lodestrata.cql.rewrites import prepare
 from lodestrata.cql.text import CqlError
+from lodestrata.functions import crs as C
 from lodestrata.functions import geometry as G
 from lodestrata.schema.model import FeatureType, Leaf
 from lodestrata.schema.source_path import Step, parse_path
@@ -31,13 +33,12 @@ _MARK = count()
 
 
 def instant_literal(x: Lit) -> Column:
-    """A date as DATE, a timestamp in UTC without zone."""
+    """A date as DATE, a timestamp in UTC without zone, whatever the session's zone."""
     if x.kind == "date":
         return F.lit(x.value).cast("date")
-    text = x.value.replace("T", " ")
-    if text.endswith("Z"):
-        return F.lit(text[:-1]).cast("timestamp_ntz")
-    return F.to_utc_timestamp(F.lit(text).cast("timestamp"), "UTC").cast("timestamp_ntz") if "+" in text else F.lit(text).cast("timestamp_ntz")
+    at = datetime.fromisoformat(x.value)
+    at = at.astimezone(UTC).replace(tzinfo=None) if at.tzinfo else at
+    return F.lit(at.isoformat(" ")).cast("timestamp_ntz")
 
 
 def table(tables: Tables, step: Step) -> DataFrame:
@@ -51,6 +52,34 @@ def table(tables: Tables, step: Step) -> DataFrame:
     return df
 
 
+def json_values(c: Column, path: tuple[str, ...], kind: str) -> Column:
+    """All values below a JSON path with arrays (steps that end in ``[*]``), one after another, without nulls."""
+
+    def schema(keys: tuple[str, ...]) -> str:
+        if not keys:
+            return kind
+        inner = schema(keys[1:])
+        return f"struct<`{keys[0].removesuffix('[*]')}`: {f'array<{inner}>' if keys[0].endswith('[*]') else inner}>"
+
+    def below(x: Column, keys: tuple[str, ...]) -> tuple[Column, bool]:
+        """The value or values, and which of both."""
+        if not keys:
+            return x, False
+        own = x[keys[0].removesuffix("[*]")]
+        if not keys[0].endswith("[*]"):
+            return below(own, keys[1:])
+        return inside(own, keys[1:]), True
+
+    def inside(array: Column, keys: tuple[str, ...]) -> Column:
+        many = any(k.endswith("[*]") for k in keys)
+        out = F.transform(array, lambda x: below(x, keys)[0])
+        return F.flatten(F.filter(out, lambda x: x.isNotNull())) if many else out
+
+    i = next(k for k, step in enumerate(path) if step.endswith("[*]"))
+    text = F.get_json_object(c, "$." + ".".join(path[: i + 1]).removesuffix("[*]"))
+    return F.filter(inside(F.from_json(text, f"array<{schema(path[i + 1 :])}>"), path[i + 1 :]), lambda x: x.isNotNull())
+
+
 def leaf_column(leaf: Leaf) -> Column:
     """The value of a property in its own table's row."""
     p = leaf.property
@@ -63,12 +92,16 @@ def leaf_column(leaf: Leaf) -> Column:
         kind = f"array<{p.spark_type()}>" if p.type == "VALUE_ARRAY" else p.spark_type()
         return F.expr(path.column.replace("$T$.", "")).cast(kind)
     if path.kind == "json":
+        if any(k.endswith("[*]") for k in path.json_path):
+            return json_values(F.col(path.column), path.json_path, p.spark_type())
         keys = "".join(f".{k}" for k in path.json_path)
         if p.type == "VALUE_ARRAY":
             return F.from_json(F.get_json_object(path.column, f"${keys}"), f"array<{p.spark_type()}>")
         return F.get_json_object(path.column, f"${keys}").cast(p.spark_type())
-    c = F.col(path.column)
+    c = F.expr(path.column) if "(" in path.column else F.col(path.column)  # a function of the column
     if p.type in ("DATE", "DATETIME"):
+        if pattern := dict(path.flags).get("format"):  # how the column's text is to be read
+            return F.to_date(c, pattern) if p.type == "DATE" else F.to_timestamp_ntz(c, F.lit(pattern))
         return c.cast(p.spark_type())
     return c
 
@@ -114,11 +147,12 @@ class Expressions:
                 if self.position is None:
                     raise CqlError("position() stands in a nested filter only")
                 return self.position
-            case "diameter2d" | "diameter3d":
+            case "diameter2d":
                 box = G.bbox(self.value(args[0]))
-                from lodestrata.functions.crs import diameter_2d
-
-                return diameter_2d(box.xmin, box.ymin, box.xmax, box.ymax)
+                return C.diameter_2d(box.xmin, box.ymin, box.xmax, box.ymax)
+            case "diameter3d":
+                box = G.bbox_3d(self.value(args[0]))
+                return C.diameter_3d(box.xmin, box.ymin, box.zmin, box.xmax, box.ymax, box.zmax)
         raise CqlError(f"unknown function {name}()")
 
     def point(self, x) -> tuple[Column, Column] | None:
@@ -223,11 +257,38 @@ def _lists(x):
     return list(map(_lists, x)) if isinstance(x, tuple) else x
 
 
+def to_native(node, source: C.Crs, native: C.Crs):
+    """Geometry literals, checked in their own reference system, in that of the features' coordinates (in the plane)."""
+
+    def move(x):
+        if not isinstance(x, Geom | Bbox):
+            return x
+        own = x.crs or source
+        checks.check_domain(x, own)
+        if own == native:
+            return x
+        if isinstance(x, Bbox):
+            v = x.values if len(x.values) == 4 else (*x.values[:2], *x.values[3:5])
+            low, high = C.transform(list(v[:2]), own, native), C.transform(list(v[2:]), own, native)
+            lon = 0 if native.lon_lat else 1
+            if C.unit(own) == C.unit(native) == "degree" and low[lon] > high[lon]:  # it crosses the antimeridian there, too
+                return Bbox((*low, *high), native)
+            return Bbox(C.transform_bbox(v, own, native), native)
+        g = G.wkt.map_coordinates((x.type, _lists(x.coordinates)), lambda line: [C.transform(c[:2], own, native) for c in line])
+        return Geom(x.type, _tuples(g[1]), native)
+
+    return transform(node, move)
+
+
+def _tuples(x):
+    return tuple(map(_tuples, x)) if isinstance(x, list) else x
+
+
 class FilterPlan:
     """Applies a filter to the rows of a feature type's main table."""
 
-    def __init__(self, feature_type: FeatureType, tables: Tables):
-        self.type, self.tables = feature_type, tables
+    def __init__(self, feature_type: FeatureType, tables: Tables, native_crs: C.Crs = C.CRS84):
+        self.type, self.tables, self.native_crs = feature_type, tables, native_crs
         self.leaves = {x.name: x for x in feature_type.leaves()}
         self.main = feature_type.main
 
@@ -237,12 +298,13 @@ class FilterPlan:
         checks.check_functions(expression)
         checks.check_types(expression, self.type.scope("QUERYABLE").types())
 
-    def apply(self, df: DataFrame, expression) -> DataFrame:
-        """Rows of ``df`` (of the main table) that the filter keeps, with the same columns."""
+    def apply(self, df: DataFrame, expression, crs: C.Crs | None = None) -> DataFrame:
+        """Rows of ``df`` (of the main table) that the filter keeps, with the same columns; ``crs`` is that of the filter's coordinates."""
         columns = df.columns
         key = self.type.with_role("ID")
         expression = transform(expression, lambda x: Prop((key.name,)) if isinstance(x, Prop) and x.path == ("_ID_",) and key else x)
         self.check(expression)
+        expression = to_native(expression, crs or self.native_crs, self.native_crs)
         dates = frozenset(n for n, x in self.leaves.items() if x.property.type == "DATE")
         node = prepare(expression, dates)
         parts = node.args if isinstance(node, Op) and node.op == "and" else (node,)
@@ -340,11 +402,20 @@ class FilterPlan:
         rows = rows.select("_k", e.value(a).alias("_v")).filter("_v is not null")
         items = list(dict.fromkeys(b.items))
         inside = F.col("_v").isin(*map(e.value, items)) if items else F.lit(False)
-        n = len(items)
         if node.op == "a_overlaps":
             return rows.filter(inside).select("_k").distinct()
+        # Each item has a bit: one partial aggregation tells which items a feature has, whatever repeats.
+        seen, words = [], range(0, len(items), 62)
+        for w in words:
+            bit = F.lit(0).cast("long")
+            for k, item in enumerate(items[w : w + 62]):
+                bit = F.when(F.col("_v") == e.value(item), F.lit(1 << k).cast("long")).otherwise(bit)
+            seen.append(F.bit_or(bit).alias(f"_b{w}"))
+        full = [F.col(f"_b{w}") == (1 << len(items[w : w + 62])) - 1 for w in words]
         if node.op == "a_contains":
-            return rows.filter(inside).groupBy("_k").agg(F.count_distinct("_v").alias("_n")).filter(F.col("_n") == n).select("_k")
-        counts = rows.groupBy("_k").agg(F.count_distinct(F.when(inside, F.col("_v"))).alias("_n"), F.max(F.when(~inside, 1).otherwise(0)).alias("_other"))
-        kept = counts.filter("_other = 0")
-        return (kept.filter(F.col("_n") == n) if node.op == "a_equals" else kept).select("_k")
+            if not items:  # every array holds an empty one
+                return rows.select("_k").distinct()
+            return rows.filter(inside).groupBy("_k").agg(*seen).filter(reduce(lambda p, q: p & q, full)).select("_k")
+        other = F.max(F.when(inside, 0).otherwise(1)).alias("_other")
+        kept = rows.groupBy("_k").agg(other, *(seen if node.op == "a_equals" else ())).filter("_other = 0")
+        return (kept.filter(reduce(lambda p, q: p & q, full, F.lit(True))) if node.op == "a_equals" else kept).select("_k")

@@ -132,6 +132,17 @@ class FeatureType:
 
         return replace(self, properties=tuple(go(self.properties, ())))
 
+    def required_names(self) -> Iterator[str]:
+        """Full names of the required properties, objects included."""
+
+        def go(props, at):
+            for p in props:
+                if p.required:
+                    yield ".".join((*at, p.name))
+                yield from go(p.properties, (*at, p.name))
+
+        yield from go(self.properties, ())
+
     def scope(self, scope: str) -> FeatureType:
         return self.select(lambda _, p: p.in_scope(scope))
 
