@@ -75,9 +75,13 @@ def train(rows: DataFrame, text: str = "text", language: str = "lang", key: str
     language are one fixed-size array.
     """
     named = rows.filter(F.col(language).isNotNull() & (F.trim(language) != "") & F.col(text).isNotNull()).select(F.lower(language).alias("_l"), F.col(key).cast("long").alias("key"))
-    # One scan; Spark keeps the first rows of each language on the map side, so no language is gathered in one task.
-    rank = F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("key"), "key"))
-    ids = materialise(named.withColumn("_n", rank).filter(F.col("_n") <= sample_rows).select("key", "_l").distinct(), "sample")
+    # The rows of least hash are found among those below a bound that about four times as many rows meet as are needed, so
+    # that no task gets more of a language than that, however frequent it is.
+    counts = materialise(named.groupBy("_l").agg(F.count("*").alias("_of")), "counts")
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
+    likely = named.join(F.broadcast(counts) if small_enough(counts) else counts, "_l").filter(place.cast("double") * F.col("_of") < 4 * sample_rows * (1 << 30))
+    rank = F.row_number().over(Window.partitionBy("_l").orderBy(place, "key"))
+    ids = materialise(likely.withColumn("_n", rank).filter(F.col("_n") <= sample_rows).select("key", "_l").distinct(), "sample")
     languages = sorted(r["_l"] for r in ids.select("_l").distinct().collect())  # one row for each language
     counts = np.zeros((len(languages) + 1, BUCKETS), np.float32)
     if languages:

@@ -50,7 +50,7 @@ MOST_BANDS = PERMUTATIONS // BAND_ROWS
 LINK_PERCENT, ESTIMATE_SLACK = 85, 0.15
 WORDS = 5
 #: Members of one head that one task confirms; members and shingles of a block of a bucket.
-CHUNK, BLOCK, BLOCK_SHINGLES = 64, 2048, 1 << 20
+CHUNK, BLOCK, BLOCK_SHINGLES = 64, 512, 1 << 20
 
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 32, (3, PERMUTATIONS), np.uint32) | np.uint32(1)
 _GRAM = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(64)]
@@ -235,16 +235,21 @@ PAIRED = "bucket long, i long, j long, rep long, block long, head long, componen
 def confirm_within(rows: DataFrame, docs: DataFrame, text: str, doc_id: str, percent: int, size: int) -> DataFrame:
     """Links (x, y) between members of different components of one bucket that their star left out.
 
-    ``rows`` (materialised): bucket, size (of the bucket), head, rep, component, n, sig, bands. A bucket
-    is dealt to tasks in pairs of blocks. A first pass estimates all pairs of two blocks on the packed
+    ``rows`` (materialised): bucket, head, of_head (the head's component), rep, component, n, sig, bands.
+    Members of the head's component, most of a hot bucket, are linked with each other already: they are dealt
+    in blocks once, and the others meet them and each other, block by block. A first pass estimates all pairs of two blocks on the packed
     signatures and keeps the members that may link; these alone bring their texts to a second one, which
     tests the likely pairs on the full sets, likeliest first, but for those connected meanwhile. A pair is
     tested in its first common band.
     """
-    weight = materialise(rows.groupBy("bucket").agg(F.sum("n").alias("shingles")), "weight")
+    main = F.col("component") == F.col("of_head")
+    parts = lambda those: F.greatest(F.ceil(F.count(F.when(those, 1)) / BLOCK), F.ceil(F.sum(F.when(those, F.col("n"))) / BLOCK_SHINGLES), F.lit(1))
+    weight = materialise(rows.groupBy("bucket").agg(parts(main).alias("mains"), parts(~main).alias("others")), "weight")
     dealt = rows.join(F.broadcast(weight) if small_enough(weight) else weight, "bucket")
-    dealt = dealt.withColumn("parts", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).withColumn("block", F.pmod(F.xxhash64("rep"), "parts"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = F.xxhash64("rep")
+    dealt = dealt.withColumn("block", F.when(main, -F.pmod(own, "mains") - 1).otherwise(F.pmod(own, "others")))
+    # The blocks that a member meets: for one of the head's component those of the others, for another all.
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(main, F.lit(0)).otherwise(-F.col("mains")), F.col("others") - 1)))
     names = [c.split()[0] for c in PAIRED.split(", ")]
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *names[3:])
 
@@ -258,8 +263,8 @@ def confirm_within(rows: DataFrame, docs: DataFrame, text: str, doc_id: str, per
     order = ("bucket", "i", "j", "rep")
     chosen = materialise(dealt.repartition("bucket", "i", "j").sortWithinPartitions(*order).mapInArrow(narrow, PAIRED), "chosen")
     ids = materialise(chosen.select(F.col("rep").alias("id")).distinct(), "ids")
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    texts = materialise(semi_join(own, ids, "id").withColumnRenamed("id", "rep"), "texts")
+    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    texts = materialise(semi_join(source, ids, "id").withColumnRenamed("id", "rep"), "texts")
 
     def run(batches):
         for table in _groups(batches, 3):
@@ -364,8 +369,9 @@ def _components(signed: DataFrame, docs: DataFrame, row: str, percent: int, size
 
     # What the stars left out: pairs of one bucket in different components.
     labelled = members.filter("size > 2").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = materialise(labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("bucket"), "mixed")
-    open_rows = materialise(semi_join(labelled, mixed, "bucket").join(reps, "rep"), "open")
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max(F.when(F.col("rep") == F.col("head"), F.col("component"))).alias("of_head"))
+    mixed = materialise(mixed.filter("a != b").select("bucket", "of_head"), "mixed")
+    open_rows = materialise(labelled.join(F.broadcast(mixed) if small_enough(mixed) else mixed, "bucket").join(reps, "rep"), "open")
     if not open_rows.isEmpty():
         links = links.unionByName(confirm_within(open_rows, docs, "text", row, percent, size))
         found = components(links, "x", "y")
