@@ -5,10 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _HOLE = re.compile(r"\{\{\s*([\w.:-]+)\s*((?:\|[^{}]*?)?)\s*\}\}")
 _FILTER = re.compile(r"\|\s*(\w+)((?:\s*:\s*'(?:[^']|'')*')*)")
@@ -28,19 +26,11 @@ FILTERS: dict[str, Callable[..., Column]] = {
 }
 
 
-@F.pandas_udf(T.StringType())
-def _markdown(s: pd.Series) -> pd.Series:
-    def one(t):
-        t = re.sub(r"\[([^\]]*)\]\(([^)]*)\)", r'<a href="\2">\1</a>', t)
-        t = re.sub(r"\*\*(.+?)\*\*", r"<strong>\1</strong>", t)
-        return re.sub(r"\*(.+?)\*", r"<em>\1</em>", t)
-
-    return s.map(lambda t: None if t is None else one(t))
-
-
 def markdown(c: Column) -> Column:
     """Links, strong and emphasised text as HTML."""
-    return _markdown(c)
+    for pattern, to in ((r"\[([^\]]*)\]\(([^)]*)\)", '<a href="$2">$1</a>'), (r"\*\*(.+?)\*\*", "<strong>$1</strong>"), (r"\*(.+?)\*", "<em>$1</em>")):
+        c = F.regexp_replace(c, pattern, to)
+    return c
 
 
 def compile_template(template: str, lookup: Callable[[str], Column | None], depth: int = 4) -> Column:

@@ -9,6 +9,7 @@ would be a range shuffle of the whole result that nothing asks for.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -74,6 +75,9 @@ class Provider:
     types: dict[str, FeatureType]
     native_crs: C.Crs = C.CRS84
     codelists: dict[str, dict] = field(default_factory=dict)
+    #: Hooks: on each query before it is planned, and on each result.
+    before: list[Callable[[FeatureQuery], FeatureQuery]] = field(default_factory=list)
+    after: list[Callable[[FeatureQuery, DataFrame], DataFrame]] = field(default_factory=list)
 
     def __post_init__(self):
         # Top-k keeps as many rows in a task's memory as offset and limit add up to; beyond this Spark sorts and streams.
@@ -126,6 +130,14 @@ class Provider:
 
     def query(self, q: FeatureQuery) -> DataFrame:
         """Nested features, or only their number for ``hits_only``."""
+        for hook in self.before:
+            q = hook(q)
+        out = self.plan(q)
+        for hook in self.after:
+            out = hook(q, out)
+        return out
+
+    def plan(self, q: FeatureQuery) -> DataFrame:
         if q.hits_only:
             return self.count(q.type, q.filters)
         t = self.types[q.type]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 ACTIONS = {"INSERT": "CREATE", "UPDATE": "UPDATE", "DELETE": "DELETE", "CREATE": "CREATE"}
@@ -65,6 +65,32 @@ def extent_changes(changes: DataFrame) -> DataFrame:
     return changes.agg(F.count("*").alias("changes"), F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
+class StatisticsCache:
+    """Counts and extents by feature type; a change of a type drops what is known of it, so the next reader computes it anew."""
+
+    def __init__(self):
+        self._known: dict[tuple[str, str], Row] = {}
+
+    def get(self, type_: str, statistic: str, compute: Callable[[], DataFrame]) -> Row:
+        """The statistic's one row; ``compute`` gives it where it is not known."""
+        if (type_, statistic) not in self._known:
+            self._known[type_, statistic] = compute().first()
+        return self._known[type_, statistic]
+
+    def invalidate(self, type_: str) -> None:
+        for k in [k for k in self._known if k[0] == type_]:
+            del self._known[k]
+
+    def listener(self, type_: str) -> Callable[[DataFrame, int], None]:
+        """For :func:`subscribe`: a batch with changes drops the type's statistics."""
+
+        def on_batch(batch: DataFrame, _: int) -> None:
+            if not batch.isEmpty():
+                self.invalidate(type_)
+
+        return on_batch
+
+
 def numbered(changes: DataFrame, key: str, order: str) -> DataFrame:
     """Changes with their number within each id, for replay."""
     return changes.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy(order)))

@@ -240,3 +240,93 @@ def test_encoders_of_reduced_back_ends():
     assert encoders.graphql_arguments(parse("_ID_ IN ('7') AND S_INTERSECTS(geom, BBOX(1,2,3,4))"), templates) == 'id: "7", bbox: [1.0, 2.0, 3.0, 4.0]'
     with pytest.raises(CqlError):
         encoders.graphql_arguments(parse("name = 'x'"), templates)
+
+
+def test_curves_become_lines():
+    from math import hypot
+
+    from lodestrata.functions import wkt
+
+    kind, half = wkt.parse("CIRCULARSTRING(1 0,0 1,-1 0)")
+    assert kind == "LineString" and len(half) == 65 and all(abs(hypot(*c) - 1) < 1e-12 for c in half) and half[32] == pytest.approx([0, 1])
+    _, circle = wkt.parse("CIRCULARSTRING(1 0,-1 0,1 0)")
+    assert len(circle) == 129 and circle[0] == circle[-1]
+    _, clockwise = wkt.parse("CIRCULARSTRING(-1 0,0 1,1 0)")
+    assert all(c[1] >= -1e-12 for c in clockwise)
+    kind, rings = wkt.parse("CURVEPOLYGON(COMPOUNDCURVE(CIRCULARSTRING(0 0,1 1,2 0),(2 0,2 -1,0 -1,0 0)))")
+    assert kind == "Polygon" and rings[0][0] == rings[0][-1] == [0, 0] and tiles.G.signed_area(tiles.G.force_ccw((kind, rings))[1][0]) == pytest.approx(2 + 3.14159 / 2, abs=1e-3)
+    assert wkt.parse("MULTISURFACE(((0 0,1 0,1 1,0 0)),CURVEPOLYGON((5 5,6 5,6 6,5 5)))")[0] == "MultiPolygon"
+    assert wkt.parse("MULTICURVE((0 0,1 1),CIRCULARSTRING(0 0,1 1,2 0))")[0] == "MultiLineString" and wkt.parse("CIRCULARSTRING EMPTY") == ("LineString", [])
+
+
+def test_hooks_and_statistics(provider):
+    from dataclasses import replace
+
+    from lodestrata.streaming.changes import StatisticsCache
+
+    provider.before.append(lambda q: replace(q, limit=3))
+    provider.after.append(lambda q, df: df.withColumn("by", F.lit(q.type)))
+    rows = provider.query(FeatureQuery("orders", fields=("key",))).collect()
+    assert len(rows) == 3 and {r.by for r in rows} == {"orders"}
+    cache, calls = StatisticsCache(), []
+    count = lambda: cache.get("orders", "count", lambda: calls.append(1) or provider.count("orders"))
+    assert count() == count() and len(calls) == 1
+    listen = cache.listener("orders")
+    listen(provider.spark.range(0), 1)
+    count()
+    listen(provider.spark.range(1), 2)
+    count()
+    assert len(calls) == 2
+
+
+def test_types_of_a_web_feature_service():
+    from lodestrata.sources import services
+
+    caps = '''<wfs:WFS_Capabilities xmlns:wfs="http://www.opengis.net/wfs/2.0" xmlns:ows="http://www.opengis.net/ows/1.1"><wfs:FeatureTypeList><wfs:FeatureType>
+      <wfs:Name>shop:Order</wfs:Name><wfs:Title>Orders</wfs:Title><wfs:DefaultCRS>urn:ogc:def:crs:EPSG::25832</wfs:DefaultCRS>
+      <ows:WGS84BoundingBox><ows:LowerCorner>5.5 47</ows:LowerCorner><ows:UpperCorner>15 55.25</ows:UpperCorner></ows:WGS84BoundingBox></wfs:FeatureType></wfs:FeatureTypeList></wfs:WFS_Capabilities>'''
+    assert services.capabilities(caps) == [{"name": "shop:Order", "title": "Orders", "crs": "urn:ogc:def:crs:EPSG::25832", "box": (5.5, 47, 15, 55.25)}]
+    xsd = '''<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:gml="http://www.opengis.net/gml/3.2" xmlns:s="urn:shop">
+      <xs:element name="Order" type="s:OrderType"/>
+      <xs:complexType name="OrderType"><xs:complexContent><xs:extension base="gml:AbstractFeatureType"><xs:sequence>
+        <xs:element name="id" type="xs:int"/><xs:element name="place" type="gml:PointPropertyType" minOccurs="0"/>
+        <xs:element name="note" type="s:Note" minOccurs="0" maxOccurs="unbounded"/>
+        <xs:element name="item" maxOccurs="unbounded"><xs:complexType><xs:sequence><xs:element name="size" type="xs:double"/><xs:element name="day" type="xs:date"/></xs:sequence></xs:complexType></xs:element>
+      </xs:sequence></xs:extension></xs:complexContent></xs:complexType>
+      <xs:simpleType name="Note"><xs:restriction base="xs:string"/></xs:simpleType></xs:schema>'''
+    t = services.xsd_types(xsd)["Order"]
+    assert {x.name: x.property.type for x in t.leaves()} == {"id": "STRING", "_id_": "INTEGER", "place": "GEOMETRY", "note": "VALUE_ARRAY", "item.size": "FLOAT", "item.day": "DATE"}
+    assert t.with_role("PRIMARY_GEOMETRY").name == "place" and {p.name: p.type for p in t.properties}["item"] == "OBJECT_ARRAY" and set(t.required_names()) >= {"_id_", "item"}
+
+
+def test_graphql_is_a_data_source(spark):
+    """Pages are partitions; nested objects and lists come as their types."""
+    import json
+    import re
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from lodestrata.sources import services
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            query = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["query"]
+            a, n = map(int, re.findall(r"\d+", query)[:2])
+            rows = [{"id": i, "tags": ["x", str(i)], "at": {"x": i / 2}} for i in range(a, min(a + n, 25))]
+            body = json.dumps({"data": {"shop": {"orders": rows}}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        services.register(spark)
+        read = spark.read.format("graphql").schema("id bigint, tags array<string>, at struct<x: double>").options(url=f"http://127.0.0.1:{server.server_port}/", query="{ orders(offset: {{offset}}, limit: {{limit}}) { id } }", root="shop.orders", total="25", pagesize="10")
+        rows = sorted(read.load().collect())
+        assert [r.id for r in rows] == list(range(25)) and rows[7].tags == ["x", "7"] and rows[7].at.x == 3.5
+    finally:
+        server.shutdown()
