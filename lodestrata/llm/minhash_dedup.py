@@ -378,7 +378,7 @@ def _components(signed: DataFrame, docs: DataFrame, row: str, percent: int, size
 
     label = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").filter("copies > 1 or component is not null")
     label = materialise(label.select("hi", "lo", F.coalesce("component", "rep").alias("component")), "label")
-    drop(heads, members, tested, likely, mixed, open_rows, reps)
+    drop(classes, heads, members, tested, likely, mixed, open_rows, reps)
     # Empty sets share one digest and link with nothing: they pass by the join.
     linked = some.join(F.broadcast(label) if small_enough(label) else label, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return linked.unionByName(signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

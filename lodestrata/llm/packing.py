@@ -30,6 +30,8 @@ from lodestrata.llm.library_tokens import encode_column
 CAPACITY = 4096
 #: Items packed by one task, and bins that it leaves open for the next level at most.
 ROWS_PER_TASK, CARRIED = 24_000, 256
+#: A bin with at most this share of its capacity free is not packed again, and how often the others are at most.
+NEARLY_FULL, REPACKED = 1 / 256, 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -73,6 +75,24 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets, np.array(gaps, np.int64)
 
 
+def pack_items(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`sum_of_squares`, and again for what lies in bins that are not nearly full, as long as that saves a bin."""
+    bins, offsets, gaps = sum_of_squares(lengths, capacity)
+    for _ in range(REPACKED):
+        loose = gaps > capacity * NEARLY_FULL
+        at = np.flatnonzero(loose[bins])
+        if len(at) == 0:
+            break
+        own, place, left = sum_of_squares(lengths[at], capacity)
+        if len(left) >= loose.sum():
+            break
+        number = np.cumsum(~loose) - 1
+        bins = number[bins]
+        bins[at], offsets[at] = own + (~loose).sum(), place
+        gaps = np.concatenate([gaps[~loose], left])
+    return bins, offsets, gaps
+
+
 def tokenised_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """One narrow row for each piece of each document; the token ids themselves stay in the worker."""
     path = vocabulary or tokenizer_path("word_bpe_49k.json")
@@ -110,7 +130,7 @@ def _pack(items: DataFrame, keys: list[str], tasks: int, level: int, capacity: i
             return
         # Longest first, then by the other columns: the same result in whatever order a task's rows arrive.
         table = pa.Table.from_batches(batches).sort_by([(keys[0], "descending"), *((k, "ascending") for k in keys[1:])]).combine_chunks()
-        bins, offsets, gaps = sum_of_squares(table[keys[0]].to_numpy(), capacity)
+        bins, offsets, gaps = pack_items(table[keys[0]].to_numpy(), capacity)
         free = np.zeros(len(gaps), bool)
         if not final:
             emptiest = np.argsort(-gaps, kind="stable")[:CARRIED]
