@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,10 +13,6 @@ from lodestrata.functions import crs as C
 from lodestrata.functions import predicates, wkt
 
 
-#: Geometries of a batch are parsed once, however many predicates look at them.
-_parsed = lru_cache(1 << 14)(wkt.parse)
-
-
 def point_wkt(x: Column, y: Column) -> Column:
     return F.concat(F.lit("POINT("), x.cast("string"), F.lit(" "), y.cast("string"), F.lit(")"))
 
@@ -49,7 +44,7 @@ def spatial(op: str, geometry: Column, literal: wkt.Geometry) -> Column:
     @F.pandas_udf("boolean")
     def test(g: pd.Series) -> pd.Series:
         other = wkt.parse(text)
-        return pd.Series([None if x is None else predicates.evaluate(op, _parsed(x), other) for x in g], dtype="boolean")
+        return pd.Series([None if x is None else predicates.evaluate(op, wkt.parsed(x), other) for x in g], dtype="boolean")
 
     return test(geometry)
 
@@ -59,7 +54,7 @@ def spatial_columns(op: str, a: Column, b: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def test(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else predicates.evaluate(op, _parsed(p), _parsed(q)) for p, q in zip(x, y, strict=True)], dtype="boolean")
+        return pd.Series([None if p is None or q is None else predicates.evaluate(op, wkt.parsed(p), wkt.parsed(q)) for p, q in zip(x, y, strict=True)], dtype="boolean")
 
     return test(a, b)
 
@@ -226,6 +221,6 @@ def register(spark) -> None:
     for op in SPATIAL:
 
         def test(x: pd.Series, y: pd.Series, op=op) -> pd.Series:
-            return pd.Series([None if p is None or q is None else predicates.evaluate(op, _parsed(p), _parsed(q)) for p, q in zip(x, y, strict=True)], dtype="boolean")
+            return pd.Series([None if p is None or q is None else predicates.evaluate(op, wkt.parsed(p), wkt.parsed(q)) for p, q in zip(x, y, strict=True)], dtype="boolean")
 
         spark.udf.register(op, F.pandas_udf(lambda x, y, t=test: t(x, y), "boolean", F.PandasUDFType.SCALAR))

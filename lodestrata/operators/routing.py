@@ -10,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 10_000
-
+from lodestrata.scratch import drop, written
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    return df.checkpoint()
+MAX_ROUNDS = 10_000
 
 
 def allowed_edges(edges: DataFrame, limits: dict[str, float] | None = None, obstacles: DataFrame | None = None, flag_mask: int | None = None) -> DataFrame:
@@ -43,11 +41,12 @@ def distances(edges: DataFrame, start: int, max_rounds: int = MAX_ROUNDS) -> Dat
         step = step.select(F.col("target").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost"), F.col("source").alias("previous"), "edge_id")
         best = step.groupBy("node").agg(F.min(F.struct("cost", "previous", "edge_id")).alias("m")).select("node", "m.cost", "m.previous", "m.edge_id")
         old = known.select("node", F.col("cost").alias("old"))
-        better = _checkpoint(best.join(old, "node", "left").filter(F.col("old").isNull() | (F.col("cost") < F.col("old"))).drop("old"))
+        better = written(best.join(old, "node", "left").filter(F.col("old").isNull() | (F.col("cost") < F.col("old"))).drop("old"), "better")
         if better.isEmpty():
             return known
-        known = _checkpoint(known.join(better.select("node"), "node", "left_anti").unionByName(better))
-        frontier = better
+        now = written(known.join(better.select("node"), "node", "left_anti").unionByName(better), "known")
+        drop(known, *([frontier] if frontier is not known else []))
+        known, frontier = now, better
     raise RuntimeError("the relaxation did not settle")
 
 
