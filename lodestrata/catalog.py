@@ -508,6 +508,7 @@ def oracle_sql() -> dict[str, str]:
     ways = "WITH RECURSIVE d AS (SELECT 1::BIGINT AS node, 0.0::DOUBLE AS cost UNION ALL SELECT c_custkey, d.cost + 1 + c_custkey % 3 FROM d JOIN customer ON c_custkey // 2 = d.node AND c_custkey > 1)"
     mx, my = "lon * pi() / 180 * 6378137", "ln(tan(pi() / 4 + lat * pi() / 360)) * 6378137"
     tile = lambda z: f"CAST(least(greatest(floor((90 - lat) * {1 << z} / 180.0), 0), {(1 << z) - 1}) AS INTEGER) AS row, CAST(least(greatest(floor((lon + 180) * {2 << z} / 360.0), 0), {(2 << z) - 1}) AS INTEGER) AS col"
+    text = lambda c: f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
     shape = f"(SELECT *, round(lat * 0.8, 1) AS y FROM {cust})"
     # Earth-centred coordinates of a square's corners, for the length of its diagonal in space.
     geo = lambda lon, lat: (f"(r / sqrt(1 - e2 * sin(radians({lat})) ** 2)) * cos(radians({lat})) * cos(radians({lon}))", f"(r / sqrt(1 - e2 * sin(radians({lat})) ** 2)) * cos(radians({lat})) * sin(radians({lon}))", f"(r / sqrt(1 - e2 * sin(radians({lat})) ** 2)) * (1 - e2) * sin(radians({lat}))")
@@ -600,6 +601,8 @@ def oracle_sql() -> dict[str, str]:
         "x_wrap": x("'[\"' || o_orderstatus || '\"]'"),
         "x_flatten": f"SELECT o_orderkey AS key, c_name AS customer_name, c_mktsegment AS customer_segment {withc}",
         "g_reproject_3857": f"SELECT c_custkey, round({mx}, 1) AS x, round({my}, 1) AS y FROM {cust} WHERE abs(lat) < 85",
+        "g_reproject_wkt": f"SELECT c_custkey AS key, CASE WHEN lat > -90 THEN 'POINT(' || {text('x')} || ' ' || {text('y')} || ')' END AS location FROM (SELECT *, round({mx}, 1) AS x, CASE WHEN lat > -90 THEN round({my.replace('lat', 'greatest(lat, -89)')}, 1) END AS y FROM {cust})",
+        "etag_weak": "SELECT sha256(CAST(sum(CAST('0x' || substr(sha256(CAST(to_json({'key': o_orderkey, 'price': o_totalprice}) AS VARCHAR)), 1, 15) AS BIGINT)) AS VARCHAR)) AS etag FROM orders",
         "tile_rowcol": f"SELECT c_custkey, {tile(5)} FROM {cust}",
         "tile_counts": " UNION ALL ".join(f"SELECT {z} AS level, row, col, count(*) AS n FROM (SELECT {tile(z)} FROM {cust}) GROUP BY ALL" for z in range(4)),
         "route_distances": f"{ways} SELECT node, cost FROM d",

@@ -330,3 +330,102 @@ def test_graphql_is_a_data_source(spark):
         assert [r.id for r in rows] == list(range(25)) and rows[7].tags == ["x", "7"] and rows[7].at.x == 3.5
     finally:
         server.shutdown()
+
+
+def _varints(data):
+    at, out = 0, []
+    while at < len(data):
+        n = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            n |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                break
+        out.append(n)
+    return out
+
+
+def _messages(data):
+    """Fields of a protocol buffer: (number, value) with bytes for nested ones."""
+    at = 0
+    while at < len(data):
+        n = 0
+        for shift in range(0, 70, 7):
+            b = data[at]
+            at += 1
+            n |= (b & 127) << shift
+            if b < 128:
+                break
+        number, kind = n >> 3, n & 7
+        if kind == 1:
+            yield number, data[at : at + 8]
+            at += 8
+            continue
+        size = 0
+        for shift in range(0, 70, 7):
+            b = data[at]
+            at += 1
+            size |= (b & 127) << shift
+            if b < 128:
+                break
+        if kind == 0:
+            yield number, size
+        else:
+            yield number, data[at : at + size]
+            at += size
+
+
+def test_tiles_decode_to_their_points(spark):
+    """Every tile, read by a decoder of its own: ids, places and properties of the points that fall into it."""
+    import struct
+
+    grid = tiles.GRIDS["WorldCRS84Quad"]
+    points = {r.c_custkey: r for r in catalog.tables(spark, SF)("customer_geo").collect()}
+    seen = {0: set(), 1: set()}
+    for t in catalog.queries()["mvt_bytes"](spark, SF).collect():
+        box = grid.tile_box(t.level, t.row, t.col)
+        (number, layer), = _messages(bytes(t.data))
+        assert number == 3
+        parts = list(_messages(layer))
+        keys, values = [v.decode() for n, v in parts if n == 3], [dict(_messages(v)) for n, v in parts if n == 4]
+        assert dict((n, v) for n, v in parts if n in (1, 5, 15)) == {1: b"customers", 5: 4096, 15: 2}
+        for n, feature in parts:
+            if n != 2:
+                continue
+            f = dict(_messages(feature))
+            p, tags, (command, x, y) = points[f[1]], _varints(f[2]), _varints(f[4])
+            x, y = (x >> 1) ^ -(x & 1), (y >> 1) ^ -(y & 1)
+            assert command == 9 and f[3] == 1
+            assert (x, y) == (round((p.lon - box[0]) / (box[2] - box[0]) * 4096), round((box[3] - p.lat) / (box[3] - box[1]) * 4096))
+            own = {keys[k]: values[v] for k, v in zip(tags[::2], tags[1::2])}
+            assert own["c_mktsegment"][1].decode() == p.c_mktsegment and struct.unpack("<d", own["c_acctbal"][3])[0] == p.c_acctbal
+            seen[t.level].add(f[1])
+    assert seen[0] == seen[1] == set(points)
+
+
+def test_simplified_lines_stay_within_the_tolerance(spark):
+    """Against the lines themselves: ends stay, kept points are points of the line, dropped ones lie near what is left."""
+    from math import dist
+
+    from lodestrata.functions import wkt
+
+    prices = spark.read.parquet(f"{SF}/orders.parquet").orderBy("o_custkey", "o_orderkey").collect()
+    lines = {}
+    for r in prices:
+        lines.setdefault(r.o_custkey, []).append(r.o_totalprice)
+    fewer = 0
+    for r in catalog.queries()["g_simplify"](spark, SF).collect():
+        kept = [tuple(c) for c in wkt.parse(r.line)[1]]
+        xs = [int(c[0]) for c in kept]
+        assert xs == sorted(set(xs)) and xs[0] == 0 and xs[-1] == len(lines[r.o_custkey]) - 1
+        fewer += len(kept) < len(lines[r.o_custkey])
+        for i, price in enumerate(lines[r.o_custkey]):
+            y = round(price / 10000)
+            near = []
+            for (ax, ay), (bx, by) in zip(kept, kept[1:]):
+                t = max(0, min(1, ((i - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+                near.append(dist((i, y), (ax + t * (bx - ax), ay + t * (by - ay))))
+            assert min(near) <= 1.5  # one of the tolerance, and half of the rounding's ties
+    assert fewer
