@@ -464,3 +464,22 @@ def test_codec_on_an_empty_table_and_long_texts(spark):
         ids = enc.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
     assert bpe_codec.round_trip_digests(docs.limit(0)).count() == 0 and zlib.crc32(b"") == 0
+
+
+def test_the_whole_pipeline_on_awkward_tables(spark, tmp_path):
+    """Null and repeated ids, null, empty and repeated texts, clashing columns, and an empty table, from the first stage to the last."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = frame(spark, [None, "", "same text of a few words", "same text of a few words", "12 !!", None], [None, 5, None, 7, 7, 7], lang=None).select(*docs.columns)
+    extra = docs.unionByName(odd).unionByName(docs.filter("doc_id < 20")).withColumn("_row", F.lit(1)).withColumn("_rejected", F.lit("x"))
+    for name, table in (("some", extra), ("none", extra.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{SF}/labels.parquet").limit(10**6 if name == "some" else 0).write.parquet(str(tmp_path / name / "labels.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    want = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
+    got = Counter(r.doc_id for r in rows if r.piece == 0)
+    assert max(n for d, n in got.items() if d is not None and d != 5 and d != 7) == 1  # of repeated rows one stays
+    assert len(set(got) ^ want) <= 0.05 * len(want)
+    assert all(0 < r.length <= 4096 for r in rows)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
