@@ -77,6 +77,7 @@ SHAPE = FeatureType.of(
     {"name": "key", "type": "INTEGER", "source_path": "c_custkey", "role": "ID"},
     {"name": "line", "type": "GEOMETRY", "source_path": "line"},
     {"name": "square", "type": "GEOMETRY", "source_path": "square", "role": "PRIMARY_GEOMETRY"},
+    {"name": "pole", "type": "GEOMETRY", "excluded_scopes": ["RETURNABLE"], "source_path": "[EXPRESSION]{sql=concat('LINESTRING Z(', lon, ' ', y, ' 0,', lon, ' ', y, ' ', c_acctbal / 100, ')')}"},
     {"name": "balance", "type": "FLOAT", "source_path": "c_acctbal", "excluded_scopes": ["RETURNABLE"]},
 )
 
@@ -250,6 +251,7 @@ SHAPES = {
     "g_intersects_square": ("S_INTERSECTS(square, LINESTRING(0.5 -90,0.5 90))", "lon <= 0.5 AND lon + 10 >= 0.5"),
     "g_disjoint_line": ("S_DISJOINT(line, BBOX(-10,-20,60,45))", "NOT (lon <= 60 AND lon + 10 >= -10 AND y <= 45 AND y >= -20)"),
     "g_equals_line": ("S_EQUALS(line, LINESTRING(-96 -44.8,-106 -44.8))", "lon = -106 AND y = -44.8"),
+    "g_intersects_3d": ("S_INTERSECTS(pole, POLYGON((-10 -20 50,60 -20 50,60 45 50,-10 45 50,-10 -20 50)))", "lon BETWEEN -10 AND 60 AND y BETWEEN -20 AND 45 AND c_acctbal >= 5000"),
     "g_diameter": ("DIAMETER2D(square) > 2000000", "sqrt(pow(6378137 * radians(10), 2) + pow(6378137 * (ln(tan(pi() / 4 + radians(y + 10) / 2)) - ln(tan(pi() / 4 + radians(y) / 2))), 2)) > 2000000"),
     "g_diameter_3d": ("DIAMETER3D(square) > 1400000", "diameter > 1400000"),
 }

@@ -429,3 +429,17 @@ def test_simplified_lines_stay_within_the_tolerance(spark):
                 near.append(dist((i, y), (ax + t * (bx - ax), ay + t * (by - ay))))
             assert min(near) <= 1.5  # one of the tolerance, and half of the rounding's ties
     assert fewer
+
+
+def test_intersection_in_space():
+    from lodestrata.functions import predicates, wkt
+
+    meet = lambda a, b: predicates.evaluate("s_intersects", wkt.parse(a), wkt.parse(b))
+    roof = "POLYGON Z((0 0 5,4 0 5,4 4 5,0 4 5,0 0 5),(1 1 5,2 1 5,2 2 5,1 2 5,1 1 5))"
+    for other, want in (
+        ("POINT Z(3 3 5)", True), ("POINT Z(3 3 6)", False), ("POINT(3 3)", False), ("POINT Z(1.5 1.5 5)", False), ("LINESTRING Z(3 3 0,3 3 9)", True), ("LINESTRING Z(3 3 0,3 3 4)", False),
+        ("LINESTRING Z(1.5 1.5 0,1.5 1.5 9)", False), ("LINESTRING Z(-1 3 5,9 3 5)", True), ("LINESTRING Z(1.2 1.2 5,1.8 1.8 5)", False), ("POLYGON Z((3 -1 0,3 5 0,3 5 9,3 -1 9,3 -1 0))", True),
+        ("POLYGON Z((3 -1 0,3 5 0,3 5 4,3 -1 4,3 -1 0))", False), ("POLYGON Z((2.5 2.5 5,3 2.5 5,3 3 5,2.5 2.5 5))", True), ("MULTIPOINT Z((9 9 9),(0 0 5))", True), ("GEOMETRYCOLLECTION(POINT Z(4 4 5))", True),
+    ):
+        assert meet(roof, other) is want and meet(other, roof) is want, other
+    assert meet("LINESTRING Z(0 0 0,2 2 2)", "LINESTRING Z(0 2 2,2 0 0)") and not meet("LINESTRING Z(0 0 0,2 2 0)", "LINESTRING Z(0 2 1,2 0 1)")
