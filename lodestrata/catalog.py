@@ -14,7 +14,7 @@ from lodestrata.functions.transformations import flatten
 from lodestrata.operators import mutations, routing, tiles, tilesets
 from lodestrata.plans.query import FeatureQuery, Provider
 from lodestrata.schema.model import FeatureType
-from lodestrata.sources.readers import crawl, parquet_tables
+from lodestrata.sources.readers import crawl, parquet_tables, validate
 from lodestrata.streaming.changes import apply_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -358,6 +358,26 @@ def _tile_box(spark, d):
     return tiles.tile_boxes(b, g, 3, "lon", "lat", "x1", "y1").groupBy("row", "col").agg(F.count("*").alias("n"))
 
 
+def _refined(spark, d):
+    """Tiles that a diagonal line at each customer's place meets."""
+    g = tiles.GRIDS["WorldCRS84Quad"]
+    c = tables(spark, d)("customer_shape").withColumn("x1", F.col("lon") + 10).withColumn("y1", F.round(F.col("y") + 10, 1))
+    c = c.withColumn("diagonal", F.concat(F.lit("LINESTRING("), F.concat_ws(",", F.concat_ws(" ", "lon", "y"), F.concat_ws(" ", "x1", "y1")), F.lit(")")))
+    return tiles.refine(tiles.tile_boxes(c.filter("x1 <= 180"), g, 5, "lon", "y", "x1", "y1"), g, "diagonal").select("c_custkey", "row", "col")
+
+
+def _validated(spark, d):
+    """What is wrong with a type whose sources are not there."""
+    t = FeatureType.of("t", "/orders{sortKey=o_key}", {"name": "a", "source_path": "o_status"}, {"name": "b", "source_path": "[o_custkey=c_key]customer/c_name"}, {"name": "c", "source_path": "[o_orderkey=x]nothing/y"}, {"name": "d", "type": "DATETIME", "source_path": "o_totalprice"})
+    return spark.createDataFrame([(e,) for e in validate(t, tables(spark, d))], "error string")
+
+
+def _sql_predicate(spark, d):
+    G.register(spark)
+    tables(spark, d)("customer_shape").createOrReplaceTempView("shapes_of_customers")
+    return spark.sql("SELECT c_custkey AS key FROM shapes_of_customers WHERE s_intersects(line, 'POLYGON((-10 -20,60 -20,60 45,-10 45,-10 -20))')")
+
+
 def _tile_set(spark, d):
     """Squares on two levels of a tile set: the coarser one shows rich customers only."""
     s = tilesets.TileSet("shape", "shape", tiles.GRIDS["WorldCRS84Quad"], range(0, 5), rules=(tilesets.LevelRule(0, 2, filter="balance > 5000"),))
@@ -451,6 +471,13 @@ def queries() -> dict[str, Query]:
         "tile_counts": _tile_counts,
         "tile_boxes": _tile_box,
         "tile_features": _tile_set,
+        "tile_refined": _refined,
+        "source_validation": _validated,
+        "ud_sql_predicate": _sql_predicate,
+        "geojson_out": lambda s, d: tables(s, d)("customer_geo").select(F.col("c_custkey").alias("key"), G.geojson(G.point_wkt(F.col("lon"), F.col("lat"))).alias("geojson")),
+        "x_object_remove": lambda s, d: flatten(_x([{**_CUSTOMER, "properties": [*_CUSTOMER["properties"], {"name": "rich", "source_path": "[EXPRESSION]{sql=nullif(c_acctbal > 0, false)}", "type": "BOOLEAN"}], "transformations": [{"objectRemoveSelect": "rich"}]}])(s, d), "_").select("key", "customer_name"),
+        "x_wrap_object": lambda s, d: _x([_value("o_orderstatus", wrap="OBJECT")])(s, d).select("key", F.col("v.value").alias("v")),
+        "x_assign_to": _x([_value("o_orderstatus", stringFormat="{{value | toLower | assignTo:'low'}}{{value}}-{{low}}{{none | orElse:'/{{low}}'}}")]),
         "tile_coverage": lambda s, d: tiles.coverage(tiles.GRIDS["WorldCRS84Quad"], range(0, 5), (-10, -20, 60, 45), s).groupBy("level").agg(F.count("*").alias("n")),
         "mvt_bytes": _mvt,
         "route_distances": lambda s, d: routing.distances(_edges(s, d), 1).select("node", "cost"),
@@ -551,6 +578,15 @@ def oracle_sql() -> dict[str, str]:
             CAST(least(greatest(floor((lon + 180) * {2 << z} / 360.0), 0), {(2 << z) - 1}) AS INTEGER) AS c0, CAST(least(greatest(floor((lon + 190) * {2 << z} / 360.0), 0), {(2 << z) - 1}) AS INTEGER) AS c1 FROM {shape} WHERE {where})), unnest(range(c0, c1 + 1)) AS u(col) GROUP BY row, col"""
             for z, where in ((2, "c_acctbal > 5000"), (4, "true"))
         ),
+        "tile_refined": f"""SELECT c_custkey, row, col FROM (SELECT c_custkey, lon, y, unnest(range(r0, r1 + 1)) AS row, c0, c1 FROM (SELECT *, CAST(floor(round(90 - (y + 10), 1) * 32 / 180.0) AS INTEGER) AS r0, CAST(floor((90 - y) * 32 / 180.0) AS INTEGER) AS r1,
+            CAST(floor((lon + 180) * 64 / 360.0) AS INTEGER) AS c0, CAST(least(floor((lon + 190) * 64 / 360.0), 63) AS INTEGER) AS c1 FROM {shape} WHERE lon + 10 <= 180)), unnest(range(c0, c1 + 1)) AS u(col)
+            WHERE greatest(col * 5.625 - 180 - lon, 90 - (row + 1) * 5.625 - y, 0) <= least((col + 1) * 5.625 - 180 - lon, 90 - row * 5.625 - y, 10) + 1e-9""",
+        "source_validation": "SELECT unnest(['t: sort key o_key does not exist in orders', 't.a: column o_status does not exist in orders', 't.b: column c_key does not exist in customer', 't: table nothing does not exist', 't.d: column o_totalprice is not temporal']) AS error",
+        "ud_sql_predicate": f"SELECT c_custkey AS key FROM {shape} WHERE lon <= 60 AND lon + 10 >= -10 AND y BETWEEN -20 AND 45",
+        "geojson_out": f"""SELECT c_custkey AS key, '{{"type": "Point", "coordinates": [' || lon || ', ' || lat || ']}}' AS geojson FROM {cust}""",
+        "x_object_remove": f"SELECT o_orderkey AS key, CASE WHEN c_acctbal > 0 THEN c_name END AS customer_name {withc}",
+        "x_wrap_object": x("o_orderstatus"),
+        "x_assign_to": x("o_orderstatus || '-' || lower(o_orderstatus) || '/' || lower(o_orderstatus)"),
         "tile_coverage": "SELECT CAST(z AS INTEGER) AS level, CAST((floor(110 * 2 ** z / 180) - floor(45 * 2 ** z / 180) + 1) * (floor(240 * 2 ** (z + 1) / 360) - floor(170 * 2 ** (z + 1) / 360) + 1) AS BIGINT) AS n FROM range(0, 5) t(z)",
         "p_skip_geometry": "SELECT c_custkey AS key, c_name AS name FROM customer",
         "p_constant": "SELECT c_name AS name, c_acctbal AS balance, 'customer' AS kind FROM customer",

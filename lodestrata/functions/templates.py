@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HOLE = re.compile(r"\{\{\s*([\w.:-]+)\s*((?:\|[^{}]*?)?)\s*\}\}")
+_HOLE = re.compile(r"\{\{\s*([\w.:-]+)\s*((?:\|(?:[^{}']|'(?:[^']|'')*')*?)?)\s*\}\}")
 _FILTER = re.compile(r"\|\s*(\w+)((?:\s*:\s*'(?:[^']|'')*')*)")
 _ARG = re.compile(r":\s*'((?:[^']|'')*)'")
 

@@ -105,6 +105,22 @@ def tile_boxes(df: DataFrame, grid: Grid, level: int, xmin: str, ymin: str, xmax
     return df.withColumn("row", F.explode(F.sequence(r0, r1))).withColumn("col", F.explode(F.sequence(c0, c1))).withColumn("level", F.lit(level))
 
 
+def refine(tiled: DataFrame, grid: Grid, geometry: str = "geometry") -> DataFrame:
+    """Of the rows that :func:`tile_boxes` makes, those whose geometry meets the tile and not only its box."""
+
+    @F.pandas_udf("boolean")
+    def meets(level: pd.Series, row: pd.Series, col: pd.Series, g: pd.Series) -> pd.Series:
+        def one(z: int, r: int, c: int, text: str | None) -> bool:
+            if text is None:
+                return False
+            w, s, e, n = grid.tile_box(z, r, c)
+            return predicates.evaluate("s_intersects", G.flat(wkt.parsed(text)), ("Polygon", [[[w, s], [e, s], [e, n], [w, n], [w, s]]]))
+
+        return pd.Series([one(*x) for x in zip(level, row, col, g, strict=True)], dtype="boolean")
+
+    return tiled.filter(meets("level", "row", "col", geometry))
+
+
 # --- geometry of one tile ------------------------------------------------------------------
 
 
