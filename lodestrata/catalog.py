@@ -69,7 +69,8 @@ EVENTS = FeatureType.of(
 PARTY = FeatureType(
     "party", "/customer_geo{sortKey=c_custkey}",
     FeatureType.of("x", "/x", {"name": "name", "source_path": "c_name"}, {"name": "balance", "type": "FLOAT", "source_path": "c_acctbal"}, {"name": "kind", "constant": "customer"}).properties,
-    (FeatureType.of("party", "/supplier{sortKey=s_suppkey}", {"name": "name", "source_path": "s_name"}, {"name": "balance", "type": "FLOAT", "source_path": "s_acctbal"}, {"name": "kind", "constant": "supplier"}),),
+    (FeatureType.of("party", "/supplier{sortKey=s_suppkey}", {"name": "name", "source_path": "s_name"}, {"name": "balance", "type": "FLOAT",
+        "source_path": "s_acctbal"}, {"name": "kind", "constant": "supplier"}),),
 )
 
 SHAPE = FeatureType.of(
@@ -170,7 +171,8 @@ FILTERS = {
     "f_accenti": ("ACCENTI(status) = ACCENTI('Ó')", "strip_accents(o_orderstatus) = 'O'"),
     "f_upper_lower": ("LOWER(status) = 'o' AND UPPER(priority) LIKE '%HIGH'", "lower(o_orderstatus) = 'o' AND upper(o_orderpriority) LIKE '%HIGH'"),
     "f_prop_prop": ("custkey > key", "o_custkey > o_orderkey"),
-    "f_json_encoding": ('{"op": "and", "args": [{"op": ">", "args": [{"property": "price"}, 100000]}, {"op": "like", "args": [{"property": "priority"}, "2%"]}]}', "o_totalprice > 100000 AND o_orderpriority LIKE '2%'"),
+    "f_json_encoding": ('{"op": "and", "args": [{"op": ">", "args": [{"property": "price"}, 100000]}, {"op": "like", "args": [{"property": "priority"}, "2%"]}]}',
+        "o_totalprice > 100000 AND o_orderpriority LIKE '2%'"),
     "j_semi_existential": ("items.quantity = 50 AND items.flag = 'R'", "EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity = 50) AND EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')"),
     "j_semi_not": ("NOT (items.flag = 'N')", "EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'N')"),
     "j_semi_or": ("items.quantity > 49 OR customer.balance < 0", "EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49) OR EXISTS (FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)"),
@@ -273,7 +275,8 @@ def _multi(spark, d):
 
 def _sum_items(spark, d, *filters):
     df = _flat("orders", "key items", *filters)(spark, d)
-    return df.select("key", F.size("items").cast("long").alias("n"), F.aggregate("items", F.lit(0.0), lambda a, x: a + x["quantity"]).alias("quantity"), F.array_join(F.transform("items", lambda x: x["line"].cast("string")), ",").alias("lines"))
+    return df.select("key", F.size("items").cast("long").alias("n"), F.aggregate("items", F.lit(0.0), lambda a, x: a + x["quantity"]).alias("quantity"),
+        F.array_join(F.transform("items", lambda x: x["line"].cast("string")), ",").alias("lines"))
 
 
 def _transformed(spark, d, type_spec: list[dict], fields: str, *filters: str, **more) -> DataFrame:
@@ -282,7 +285,8 @@ def _transformed(spark, d, type_spec: list[dict], fields: str, *filters: str, **
 
 
 _KEY = {"name": "key", "type": "INTEGER", "source_path": "o_orderkey"}
-_CUSTOMER = {"name": "customer", "type": "OBJECT", "source_path": "[o_custkey=c_custkey]customer", "properties": [{"name": "name", "source_path": "c_name"}, {"name": "segment", "source_path": "c_mktsegment"}]}
+_CUSTOMER = {"name": "customer", "type": "OBJECT", "source_path": "[o_custkey=c_custkey]customer", "properties": [{"name": "name",
+    "source_path": "c_name"}, {"name": "segment", "source_path": "c_mktsegment"}]}
 
 
 def _x(spec: list[dict], fields: str = "*") -> Query:
@@ -297,11 +301,13 @@ def _cdc(spark, d):
     read = tables(spark, d)
     state = read("customer").select("c_custkey", "c_acctbal")
     e = read("events")
-    changes = e.select((F.col("user_id") % 200 + 1).alias("c_custkey"), F.col("value").alias("c_acctbal"), F.when(F.col("event_id") % 5 == 0, "DELETE").otherwise("UPDATE").alias("action"), F.col("event_id").alias("at"))
+    changes = e.select((F.col("user_id") % 200 + 1).alias("c_custkey"), F.col("value").alias("c_acctbal"), F.when(F.col("event_id") % 5 == 0,
+        "DELETE").otherwise("UPDATE").alias("action"), F.col("event_id").alias("at"))
     return apply_changes(state, changes, "c_custkey", "at")
 
 
-_MUTABLE = FeatureType.of("n", "/nation{sortKey=n_nationkey}", {"name": "key", "type": "INTEGER", "source_path": "n_nationkey", "role": "ID"}, {"name": "title", "source_path": "n_name"}, {"name": "region", "type": "INTEGER", "source_path": "n_regionkey"})
+_MUTABLE = FeatureType.of("n", "/nation{sortKey=n_nationkey}", {"name": "key", "type": "INTEGER", "source_path": "n_nationkey", "role": "ID"},
+    {"name": "title", "source_path": "n_name"}, {"name": "region", "type": "INTEGER", "source_path": "n_regionkey"})
 
 
 def _mutated(f) -> Query:
@@ -368,7 +374,8 @@ def _refined(spark, d):
 
 def _validated(spark, d):
     """What is wrong with a type whose sources are not there."""
-    t = FeatureType.of("t", "/orders{sortKey=o_key}", {"name": "a", "source_path": "o_status"}, {"name": "b", "source_path": "[o_custkey=c_key]customer/c_name"}, {"name": "c", "source_path": "[o_orderkey=x]nothing/y"}, {"name": "d", "type": "DATETIME", "source_path": "o_totalprice"})
+    t = FeatureType.of("t", "/orders{sortKey=o_key}", {"name": "a", "source_path": "o_status"}, {"name": "b", "source_path": "[o_custkey=c_key]customer/c_name"},
+        {"name": "c", "source_path": "[o_orderkey=x]nothing/y"}, {"name": "d", "type": "DATETIME", "source_path": "o_totalprice"})
     return spark.createDataFrame([(e,) for e in validate(t, tables(spark, d))], "error string")
 
 
@@ -400,7 +407,10 @@ def queries() -> dict[str, Query]:
         "p_date_format": _x([{"name": "v", "type": "DATE", "source_path": "date_format(o_orderdate, 'dd.MM.yyyy'){format=dd.MM.yyyy}"}]),
         "p_ccw": lambda s, d: _flat("shape", "key square")(s, d).select("key", F.size(F.split("square", ",")).cast("long").alias("corners")),
         "g_filter_crs": _flat("customer", "key", "S_INTERSECTS(location, BBOX(-1113190,-2273030,6679160,5621520))", filter_crs=C.WEB_MERCATOR),
-        "x_remove_empty": lambda s, d: _transformed(s, d, [_KEY, {"name": "o", "type": "OBJECT", "properties": [{"name": "a", "source_path": "o_orderstatus", "transformations": [{"nullify": "O"}]}]}, {"name": "returned", "type": "VALUE_ARRAY", "value_type": "INTEGER", "source_path": "[o_orderkey=l_orderkey]lineitem{sortKey=l_linenumber}{filter=l_returnflag = 'R'}/l_linenumber"}], "*", remove_empty=True).select("key", F.col("o.a").alias("a"), F.col("o").isNull().alias("no_object"), F.size("returned").cast("long").alias("n"), F.col("returned").isNull().alias("no_array")),
+        "x_remove_empty": lambda s, d: _transformed(s, d, [_KEY, {"name": "o", "type": "OBJECT", "properties": [{"name": "a", "source_path": "o_orderstatus",
+            "transformations": [{"nullify": "O"}]}]}, {"name": "returned", "type": "VALUE_ARRAY", "value_type": "INTEGER", "source_path": "[o_orderkey=l_orderkey]lineitem{sortKey=l_linenumber}{filter=l_returnflag = 'R'}/l_linenumber"}],
+            "*", remove_empty=True).select("key", F.col("o.a").alias("a"), F.col("o").isNull().alias("no_object"), F.size("returned").cast("long").alias("n"),
+            F.col("returned").isNull().alias("no_array")),
         "js_below_array": lambda s, d: _flat("docs", "id values")(s, d).withColumn("values", F.array_join("values", ",")),
         "js_below_array_filter": _flat("docs", "id", "A_CONTAINS(values, (4,2))"),
         "js_json_array": lambda s, d: _flat("docs", "id list")(s, d).withColumn("list", F.array_join("list", ",")),
@@ -415,16 +425,22 @@ def queries() -> dict[str, Query]:
         "mut_stats": lambda s, d: mutations.stats(ORDERS, provider(s, d).query(FeatureQuery("orders", ("status = 'O'",), fields=("key", "date")))),
         "p_skip_geometry": lambda s, d: _flat("customer", "key name location", skip_geometry=True)(s, d),
         "p_constant": lambda s, d: _party(s, d).filter("kind = 'customer'"),
-        "j_self_join": lambda s, d: _transformed(s, d, [_KEY, {"name": "siblings", "type": "VALUE_ARRAY", "value_type": "INTEGER", "source_path": "[o_custkey=o_custkey]orders{sortKey=o_orderkey}/o_orderkey"}], "*").select("key", F.size("siblings").cast("long").alias("n")),
-        "j_left_filter": lambda s, d: _transformed(s, d, [_KEY, {"name": "returned", "type": "VALUE_ARRAY", "value_type": "INTEGER", "source_path": "[o_orderkey=l_orderkey]lineitem{sortKey=l_linenumber}{filter=l_returnflag = 'R'}/l_linenumber"}], "*").select("key", F.size("returned").cast("long").alias("n")),
+        "j_self_join": lambda s, d: _transformed(s, d, [_KEY, {"name": "siblings", "type": "VALUE_ARRAY", "value_type": "INTEGER",
+            "source_path": "[o_custkey=o_custkey]orders{sortKey=o_orderkey}/o_orderkey"}], "*").select("key", F.size("siblings").cast("long").alias("n")),
+        "j_left_filter": lambda s, d: _transformed(s, d, [_KEY, {"name": "returned", "type": "VALUE_ARRAY", "value_type": "INTEGER",
+            "source_path": "[o_orderkey=l_orderkey]lineitem{sortKey=l_linenumber}{filter=l_returnflag = 'R'}/l_linenumber"}], "*").select("key",
+            F.size("returned").cast("long").alias("n")),
         "asm_object_array": _sum_items,
         "asm_value_array": lambda s, d: _flat("orders", "key flags")(s, d).withColumn("flags", F.array_join("flags", "")),
-        "asm_m_to_n": lambda s, d: _flat("orders", "key parts")(s, d).select("key", F.size("parts").cast("long").alias("n"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("sizes")),
+        "asm_m_to_n": lambda s, d: _flat("orders", "key parts")(s, d).select("key", F.size("parts").cast("long").alias("n"), F.aggregate("parts",
+            F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("sizes")),
         "asm_feature_ref": lambda s, d: _flat("customer", "key nation")(s, d).select("key", F.col("nation.title").alias("title")),
         "concat_root": lambda s, d: _party(s, d),
         "multi_query": _multi,
-        "coalesce_values": lambda s, d: _transformed(s, d, [_KEY, {"name": "v", "coalesce": [{"source_path": "o_orderstatus", "transformations": [{"nullify": "O"}]}, {"source_path": "o_orderpriority"}]}], "*"),
-        "concat_values": lambda s, d: _transformed(s, d, [_KEY, {"name": "v", "type": "VALUE_ARRAY", "concat": [{"source_path": "o_orderstatus"}, {"source_path": "o_orderpriority"}]}], "*").withColumn("v", F.array_join("v", ";")),
+        "coalesce_values": lambda s, d: _transformed(s, d, [_KEY, {"name": "v", "coalesce": [{"source_path": "o_orderstatus", "transformations": [{"nullify": "O"}]},
+            {"source_path": "o_orderpriority"}]}], "*"),
+        "concat_values": lambda s, d: _transformed(s, d, [_KEY, {"name": "v", "type": "VALUE_ARRAY", "concat": [{"source_path": "o_orderstatus"},
+            {"source_path": "o_orderpriority"}]}], "*").withColumn("v", F.array_join("v", ";")),
         "page_limit_offset": _flat("orders", "key", limit=50, offset=25),
         "page_sort_desc": _flat("orders", "key price", sort_keys=("-price",), limit=40),
         "page_sort_two": _flat("orders", "key status price", sort_keys=("status", "-price"), limit=40, offset=5),
@@ -461,13 +477,15 @@ def queries() -> dict[str, Query]:
         "x_object_select": _x([{**_CUSTOMER, "transformations": [{"objectReduceSelect": "segment"}]}]),
         "x_object_map": lambda s, d: flatten(_x([{**_CUSTOMER, "transformations": [{"objectMapFormat": {"label": "{{name}}!", "group": "{{segment | toLower}}"}}]}])(s, d), "_"),
         "x_object_add": lambda s, d: flatten(_x([{**_CUSTOMER, "transformations": [{"objectMapDuplicate": {"title": "name"}}, {"objectAddConstants": {"kind": "c"}}]}])(s, d), "_"),
-        "x_array_reduce": _x([{"name": "v", "type": "VALUE_ARRAY", "source_path": "[o_orderkey=l_orderkey]lineitem{sortKey=l_linenumber}/l_returnflag", "transformations": [{"arrayReduceFormat": "{{0}}-{{1 | orElse:'x'}}"}]}]),
+        "x_array_reduce": _x([{"name": "v", "type": "VALUE_ARRAY", "source_path": "[o_orderkey=l_orderkey]lineitem{sortKey=l_linenumber}/l_returnflag",
+            "transformations": [{"arrayReduceFormat": "{{0}}-{{1 | orElse:'x'}}"}]}]),
         "x_wrap": lambda s, d: _x([_value("o_orderstatus", wrap="VALUE_ARRAY")])(s, d).withColumn("v", F.to_json("v")),
         "x_flatten": _x([{**_CUSTOMER, "transformations": [{"flatten": "_"}]}]),
         "g_reproject_3857": lambda s, d: _reproject(s, d),
         "g_reproject_wkt": lambda s, d: _flat("customer", "key location", crs=C.WEB_MERCATOR, geometry_precision=(1,))(s, d),
         "g_simplify": lambda s, d: _simplified(s, d),
-        "tile_rowcol": lambda s, d: tiles.tile_points(tables(s, d)("customer_geo").select("c_custkey", "lon", "lat"), tiles.GRIDS["WorldCRS84Quad"], range(5, 6), "lon", "lat").select("c_custkey", "row", "col"),
+        "tile_rowcol": lambda s, d: tiles.tile_points(tables(s, d)("customer_geo").select("c_custkey", "lon", "lat"), tiles.GRIDS["WorldCRS84Quad"],
+            range(5, 6), "lon", "lat").select("c_custkey", "row", "col"),
         "tile_counts": _tile_counts,
         "tile_boxes": _tile_box,
         "tile_features": _tile_set,
@@ -475,20 +493,23 @@ def queries() -> dict[str, Query]:
         "source_validation": _validated,
         "ud_sql_predicate": _sql_predicate,
         "geojson_out": lambda s, d: tables(s, d)("customer_geo").select(F.col("c_custkey").alias("key"), G.geojson(G.point_wkt(F.col("lon"), F.col("lat"))).alias("geojson")),
-        "x_object_remove": lambda s, d: flatten(_x([{**_CUSTOMER, "properties": [*_CUSTOMER["properties"], {"name": "rich", "source_path": "[EXPRESSION]{sql=nullif(c_acctbal > 0, false)}", "type": "BOOLEAN"}], "transformations": [{"objectRemoveSelect": "rich"}]}])(s, d), "_").select("key", "customer_name"),
+        "x_object_remove": lambda s, d: flatten(_x([{**_CUSTOMER, "properties": [*_CUSTOMER["properties"], {"name": "rich", "source_path": "[EXPRESSION]{sql=nullif(c_acctbal > 0, false)}",
+            "type": "BOOLEAN"}], "transformations": [{"objectRemoveSelect": "rich"}]}])(s, d), "_").select("key", "customer_name"),
         "x_wrap_object": lambda s, d: _x([_value("o_orderstatus", wrap="OBJECT")])(s, d).select("key", F.col("v.value").alias("v")),
         "x_assign_to": _x([_value("o_orderstatus", stringFormat="{{value | toLower | assignTo:'low'}}{{value}}-{{low}}{{none | orElse:'/{{low}}'}}")]),
         "tile_coverage": lambda s, d: tiles.coverage(tiles.GRIDS["WorldCRS84Quad"], range(0, 5), (-10, -20, 60, 45), s).groupBy("level").agg(F.count("*").alias("n")),
         "mvt_bytes": _mvt,
         "route_distances": lambda s, d: routing.distances(_edges(s, d), 1).select("node", "cost"),
         "route_shortest": lambda s, d: routing.route(_edges(s, d), [1, 9, 75]),
-        "route_nearest": lambda s, d: routing.nearest_node(tables(s, d)("customer_geo").select(F.col("c_custkey").alias("node"), F.col("lon").alias("x"), F.col("lat").alias("y")), 12.3, 45.6).select("node", F.round("distance", 6).alias("distance")),
+        "route_nearest": lambda s, d: routing.nearest_node(tables(s, d)("customer_geo").select(F.col("c_custkey").alias("node"), F.col("lon").alias("x"),
+            F.col("lat").alias("y")), 12.3, 45.6).select("node", F.round("distance", 6).alias("distance")),
         "cdc_apply": _cdc,
         "mut_insert": _mutated(lambda t, n: mutations.insert(t, _MUTABLE, _new_nations(n))),
         "mut_replace": _mutated(lambda t, n: mutations.replace(t, _MUTABLE, _changed_nations(n))),
         "mut_patch": _mutated(lambda t, n: mutations.patch(t, _MUTABLE, _changed_nations(n))),
         "mut_delete": _mutated(lambda t, n: mutations.delete(t, _MUTABLE, n.filter("n_regionkey = 1").select(F.col("n_nationkey").alias("id")))),
-        "schema_crawl": lambda s, d: s.createDataFrame([(t.name, x.name, x.property.type) for t in crawl(tables(s, d), TABLES).values() for x in t.leaves()], "type_name string, property string, kind string"),
+        "schema_crawl": lambda s, d: s.createDataFrame([(t.name, x.name, x.property.type) for t in crawl(tables(s, d), TABLES).values() for x in t.leaves()],
+            "type_name string, property string, kind string"),
     }
     return out
 
@@ -499,13 +520,15 @@ def _party(spark, d):
 
 
 def _interval(spark, d):
-    t = FeatureType.of("t", "/lineitem{sortKey=l_orderkey}", {"name": "a", "type": "DATETIME", "source_path": "l_shipdate", "role": "PRIMARY_INTERVAL_START"}, {"name": "b", "type": "DATETIME", "source_path": "[EXPRESSION]{sql=l_shipdate + make_dt_interval(l_linenumber)}", "role": "PRIMARY_INTERVAL_END"})
+    t = FeatureType.of("t", "/lineitem{sortKey=l_orderkey}", {"name": "a", "type": "DATETIME", "source_path": "l_shipdate", "role": "PRIMARY_INTERVAL_START"},
+        {"name": "b", "type": "DATETIME", "source_path": "[EXPRESSION]{sql=l_shipdate + make_dt_interval(l_linenumber)}", "role": "PRIMARY_INTERVAL_END"})
     return Provider(spark, tables(spark, d), {"t": t}).temporal_extent("t")
 
 
 def _two_tables(spark, d):
     """The extent from the first order to the last shipping: start and end in tables of their own."""
-    t = FeatureType.of("t", "/orders{sortKey=o_orderkey}", {"name": "a", "type": "DATETIME", "source_path": "o_orderdate", "role": "PRIMARY_INTERVAL_START"}, {"name": "b", "type": "DATETIME", "source_path": "[o_orderkey=l_orderkey]lineitem/l_shipdate", "role": "PRIMARY_INTERVAL_END"})
+    t = FeatureType.of("t", "/orders{sortKey=o_orderkey}", {"name": "a", "type": "DATETIME", "source_path": "o_orderdate", "role": "PRIMARY_INTERVAL_START"},
+        {"name": "b", "type": "DATETIME", "source_path": "[o_orderkey=l_orderkey]lineitem/l_shipdate", "role": "PRIMARY_INTERVAL_END"})
     return Provider(spark, tables(spark, d), {"t": t}).temporal_extent("t")
 
 
@@ -540,7 +563,8 @@ def oracle_sql() -> dict[str, str]:
     text = lambda c: f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
     shape = f"(SELECT *, round(lat * 0.8, 1) AS y FROM {cust})"
     # Earth-centred coordinates of a square's corners, for the length of its diagonal in space.
-    geo = lambda lon, lat: (f"(r / sqrt(1 - e2 * sin(radians({lat})) ** 2)) * cos(radians({lat})) * cos(radians({lon}))", f"(r / sqrt(1 - e2 * sin(radians({lat})) ** 2)) * cos(radians({lat})) * sin(radians({lon}))", f"(r / sqrt(1 - e2 * sin(radians({lat})) ** 2)) * (1 - e2) * sin(radians({lat}))")
+    geo = lambda lon, lat: (f"(r / sqrt(1 - e2 * sin(radians({lat})) ** 2)) * cos(radians({lat})) * cos(radians({lon}))", f"(r / sqrt(1 - e2 * sin(radians({lat})) ** 2)) * cos(radians({lat})) * sin(radians({lon}))",
+        f"(r / sqrt(1 - e2 * sin(radians({lat})) ** 2)) * (1 - e2) * sin(radians({lat}))")
     apart = " + ".join(f"({b} - {a}) ** 2" for a, b in zip(geo("lon", "y"), geo("lon + 10", "y + 10"), strict=True))
     shape_3d = f"(SELECT *, sqrt({apart}) AS diameter FROM (SELECT *, 6378137.0::DOUBLE AS r, {C.E2!r}::DOUBLE AS e2 FROM {shape}))"
     out |= {k: f"SELECT c_custkey AS key FROM {shape_3d if 'diameter >' in where else shape} WHERE {where}" for k, (_, where) in SHAPES.items()}
@@ -555,15 +579,35 @@ def oracle_sql() -> dict[str, str]:
         "p_date_format": x("CAST(o_orderdate AS DATE)"),
         "p_ccw": "SELECT c_custkey AS key, 5 AS corners FROM customer",
         "g_filter_crs": f"SELECT c_custkey AS key FROM {cust} WHERE abs(lat) < 90 AND {mx} BETWEEN -1113190 AND 6679160 AND {my} BETWEEN -2273030 AND 5621520",
-        "x_remove_empty": "SELECT o_orderkey AS key, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS a, o_orderstatus = 'O' AS no_object, CASE WHEN n > 0 THEN n ELSE NULL END AS n, n IS NULL AS no_array FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey",
+        "x_remove_empty": (
+            "SELECT o_orderkey AS key, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS a, o_orderstatus = 'O' AS no_object, CASE WHEN "
+            "n > 0 THEN n ELSE NULL END AS n, n IS NULL AS no_array FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE "
+            "l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey"
+        ),
         "js_below_array": "SELECT event_id AS id, (event_id % 5) || ',' || (event_id % 3) AS values FROM events",
         "js_below_array_filter": "SELECT event_id AS id FROM events WHERE event_id % 5 = 4 AND event_id % 3 = 2",
         "js_json_array": "SELECT event_id AS id, (event_id % 4) || ',7' AS list FROM events",
-        "page_sort_hidden": "SELECT key, (SELECT count(*) FROM lineitem WHERE l_orderkey = key) AS n, rank FROM (SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 2 AS rank FROM orders) WHERE rank BETWEEN 1 AND 30",
-        "multi_sorted_limit": "SELECT title, key, rank - 3 AS rank FROM (SELECT *, row_number() OVER (ORDER BY ordinal, title DESC, price DESC, key) AS rank FROM (SELECT n_name AS title, NULL::BIGINT AS key, NULL::DOUBLE AS price, 0 AS ordinal FROM nation UNION ALL SELECT NULL, o_orderkey, o_totalprice, 1 FROM orders)) WHERE rank BETWEEN 4 AND 43",
-        "concat_sorted_limit": "SELECT c_name AS name, c_acctbal AS balance, rank FROM (SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 30",
-        "page_synthetic_key": f"SELECT l_orderkey AS key, l_linenumber AS line, n, rank - 7 AS rank FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, n) AS rank FROM ({numbered})) WHERE rank BETWEEN 8 AND 57",
-        "result_metadata": f"SELECT count(*) AS number_returned, NULL::BIGINT AS number_skipped, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM (SELECT * FROM {cust} WHERE c_acctbal > 0 ORDER BY c_custkey LIMIT 100 OFFSET 5)",
+        "page_sort_hidden": (
+            "SELECT key, (SELECT count(*) FROM lineitem WHERE l_orderkey = key) AS n, rank FROM (SELECT o_orderkey AS key, row_number() OVER (ORDER "
+            "BY o_totalprice DESC, o_orderkey) - 2 AS rank FROM orders) WHERE rank BETWEEN 1 AND 30"
+        ),
+        "multi_sorted_limit": (
+            "SELECT title, key, rank - 3 AS rank FROM (SELECT *, row_number() OVER (ORDER BY ordinal, title DESC, price DESC, key) AS rank FROM "
+            "(SELECT n_name AS title, NULL::BIGINT AS key, NULL::DOUBLE AS price, 0 AS ordinal FROM nation UNION ALL SELECT NULL, o_orderkey, o_totalprice, "
+            "1 FROM orders)) WHERE rank BETWEEN 4 AND 43"
+        ),
+        "concat_sorted_limit": (
+            "SELECT c_name AS name, c_acctbal AS balance, rank FROM (SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM "
+            "customer) WHERE rank <= 30"
+        ),
+        "page_synthetic_key": (
+            "SELECT l_orderkey AS key, l_linenumber AS line, n, rank - 7 AS rank FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, n) AS "
+            f"rank FROM ({numbered})) WHERE rank BETWEEN 8 AND 57"
+        ),
+        "result_metadata": (
+            "SELECT count(*) AS number_returned, NULL::BIGINT AS number_skipped, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) "
+            f"AS ymax FROM (SELECT * FROM {cust} WHERE c_acctbal > 0 ORDER BY c_custkey LIMIT 100 OFFSET 5)"
+        ),
         "number_skipped": "SELECT 0::BIGINT AS number_returned, count(*) AS number_skipped FROM orders WHERE o_orderstatus = 'O'",
         "stat_temporal_two_tables": 'SELECT min(o_orderdate) AS "start", (SELECT max(l_shipdate) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS "end" FROM orders',
         "stat_spatial_extent_3d": f"SELECT min(lon) AS xmin, min(lat) AS ymin, min(c_acctbal) AS zmin, max(lon) AS xmax, max(lat) AS ymax, max(c_acctbal) AS zmax FROM {cust}",
@@ -581,20 +625,35 @@ def oracle_sql() -> dict[str, str]:
         "tile_refined": f"""SELECT c_custkey, row, col FROM (SELECT c_custkey, lon, y, unnest(range(r0, r1 + 1)) AS row, c0, c1 FROM (SELECT *, CAST(floor(round(90 - (y + 10), 1) * 32 / 180.0) AS INTEGER) AS r0, CAST(floor((90 - y) * 32 / 180.0) AS INTEGER) AS r1,
             CAST(floor((lon + 180) * 64 / 360.0) AS INTEGER) AS c0, CAST(least(floor((lon + 190) * 64 / 360.0), 63) AS INTEGER) AS c1 FROM {shape} WHERE lon + 10 <= 180)), unnest(range(c0, c1 + 1)) AS u(col)
             WHERE greatest(col * 5.625 - 180 - lon, 90 - (row + 1) * 5.625 - y, 0) <= least((col + 1) * 5.625 - 180 - lon, 90 - row * 5.625 - y, 10) + 1e-9""",
-        "source_validation": "SELECT unnest(['t: sort key o_key does not exist in orders', 't.a: column o_status does not exist in orders', 't.b: column c_key does not exist in customer', 't: table nothing does not exist', 't.d: column o_totalprice is not temporal']) AS error",
+        "source_validation": (
+            "SELECT unnest(['t: sort key o_key does not exist in orders', 't.a: column o_status does not exist in orders', 't.b: column c_key does "
+            "not exist in customer', 't: table nothing does not exist', 't.d: column o_totalprice is not temporal']) AS error"
+        ),
         "ud_sql_predicate": f"SELECT c_custkey AS key FROM {shape} WHERE lon <= 60 AND lon + 10 >= -10 AND y BETWEEN -20 AND 45",
         "geojson_out": f"""SELECT c_custkey AS key, '{{"type": "Point", "coordinates": [' || lon || ', ' || lat || ']}}' AS geojson FROM {cust}""",
         "x_object_remove": f"SELECT o_orderkey AS key, CASE WHEN c_acctbal > 0 THEN c_name END AS customer_name {withc}",
         "x_wrap_object": x("o_orderstatus"),
         "x_assign_to": x("o_orderstatus || '-' || lower(o_orderstatus) || '/' || lower(o_orderstatus)"),
-        "tile_coverage": "SELECT CAST(z AS INTEGER) AS level, CAST((floor(110 * 2 ** z / 180) - floor(45 * 2 ** z / 180) + 1) * (floor(240 * 2 ** (z + 1) / 360) - floor(170 * 2 ** (z + 1) / 360) + 1) AS BIGINT) AS n FROM range(0, 5) t(z)",
+        "tile_coverage": (
+            "SELECT CAST(z AS INTEGER) AS level, CAST((floor(110 * 2 ** z / 180) - floor(45 * 2 ** z / 180) + 1) * (floor(240 * 2 ** (z + 1) / "
+            "360) - floor(170 * 2 ** (z + 1) / 360) + 1) AS BIGINT) AS n FROM range(0, 5) t(z)"
+        ),
         "p_skip_geometry": "SELECT c_custkey AS key, c_name AS name FROM customer",
         "p_constant": "SELECT c_name AS name, c_acctbal AS balance, 'customer' AS kind FROM customer",
         "j_self_join": "SELECT o_orderkey AS key, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders",
         "j_left_filter": "SELECT o_orderkey AS key, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS n FROM orders",
-        "asm_object_array": "SELECT o_orderkey AS key, count(l_linenumber) AS n, coalesce(sum(l_quantity), 0) AS quantity, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber), '') AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
-        "asm_value_array": "SELECT o_orderkey AS key, coalesce(string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag), '') AS flags FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
-        "asm_m_to_n": "SELECT o_orderkey AS key, count(p_partkey) AS n, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS sizes FROM orders LEFT JOIN (lineitem JOIN part ON l_partkey = p_partkey) ON l_orderkey = o_orderkey GROUP BY 1",
+        "asm_object_array": (
+            "SELECT o_orderkey AS key, count(l_linenumber) AS n, coalesce(sum(l_quantity), 0) AS quantity, coalesce(string_agg(CAST(l_linenumber "
+            "AS VARCHAR), ',' ORDER BY l_linenumber), '') AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"
+        ),
+        "asm_value_array": (
+            "SELECT o_orderkey AS key, coalesce(string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag), '') AS flags FROM orders LEFT "
+            "JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"
+        ),
+        "asm_m_to_n": (
+            "SELECT o_orderkey AS key, count(p_partkey) AS n, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS sizes FROM orders LEFT JOIN (lineitem "
+            "JOIN part ON l_partkey = p_partkey) ON l_orderkey = o_orderkey GROUP BY 1"
+        ),
         "asm_feature_ref": "SELECT c_custkey AS key, n_name AS title FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
         "concat_root": party,
         "multi_query": "SELECT n_name AS title, NULL::VARCHAR AS name, 0 AS ordinal FROM nation UNION ALL SELECT NULL, c_name, 1 FROM customer WHERE c_acctbal > 9000",
@@ -602,11 +661,20 @@ def oracle_sql() -> dict[str, str]:
         "concat_values": x("o_orderstatus || ';' || o_orderpriority"),
         "page_limit_offset": "SELECT o_orderkey AS key FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 25",
         "page_sort_desc": "SELECT o_orderkey AS key, o_totalprice AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40",
-        "page_sort_two": "SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS price FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 5",
-        "page_children": "SELECT o_orderkey AS key, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30)",
+        "page_sort_two": (
+            "SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS price FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey "
+            "LIMIT 40 OFFSET 5"
+        ),
+        "page_children": (
+            "SELECT o_orderkey AS key, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM (SELECT * FROM orders ORDER BY o_totalprice "
+            "DESC, o_orderkey LIMIT 30)"
+        ),
         "page_limit_zero": "SELECT o_orderkey AS key FROM orders LIMIT 0",
         "page_min_max_key": "SELECT count(*) AS number_returned, min(k) AS min_key, max(k) AS max_key FROM (SELECT o_orderkey AS k FROM orders ORDER BY 1 LIMIT 100 OFFSET 10)",
-        "page_min_key_desc": "SELECT count(*) AS number_returned, min(k) AS min_key, max(k) AS max_key FROM (SELECT o_orderkey AS k FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100)",
+        "page_min_key_desc": (
+            "SELECT count(*) AS number_returned, min(k) AS min_key, max(k) AS max_key FROM (SELECT o_orderkey AS k FROM orders ORDER BY o_totalprice "
+            "DESC, o_orderkey LIMIT 100)"
+        ),
         "hits_only": "SELECT count(*) AS number_matched FROM orders WHERE o_orderstatus = 'O'",
         "number_matched": "SELECT count(*) AS number_matched FROM orders WHERE EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)",
         "stat_count": f"SELECT count(*) AS number_matched FROM ({party})",
@@ -634,21 +702,48 @@ def oracle_sql() -> dict[str, str]:
         "x_object_reduce": f"SELECT o_orderkey AS key, c_name || ' (' || c_mktsegment || ')' AS customer {withc}",
         "x_object_select": f"SELECT o_orderkey AS key, c_mktsegment AS customer {withc}",
         "x_object_map": f"SELECT o_orderkey AS key, c_name || '!' AS customer_label, lower(c_mktsegment) AS customer_group {withc}",
-        "x_object_add": f"SELECT o_orderkey AS key, c_name AS customer_name, c_mktsegment AS customer_segment, c_name AS customer_title, CASE WHEN c_name IS NOT NULL THEN 'c' END AS customer_kind {withc}",
-        "x_array_reduce": "SELECT o_orderkey AS key, CASE WHEN count(l_linenumber) > 0 THEN (list(l_returnflag ORDER BY l_linenumber, l_returnflag))[1] || '-' || coalesce((list(l_returnflag ORDER BY l_linenumber, l_returnflag))[2], 'x') END AS v FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
+        "x_object_add": (
+            "SELECT o_orderkey AS key, c_name AS customer_name, c_mktsegment AS customer_segment, c_name AS customer_title, CASE WHEN c_name IS "
+            f"NOT NULL THEN 'c' END AS customer_kind {withc}"
+        ),
+        "x_array_reduce": (
+            "SELECT o_orderkey AS key, CASE WHEN count(l_linenumber) > 0 THEN (list(l_returnflag ORDER BY l_linenumber, l_returnflag))[1] || '-' "
+            "|| coalesce((list(l_returnflag ORDER BY l_linenumber, l_returnflag))[2], 'x') END AS v FROM orders LEFT JOIN lineitem ON l_orderkey "
+            "= o_orderkey GROUP BY 1"
+        ),
         "x_wrap": x("'[\"' || o_orderstatus || '\"]'"),
         "x_flatten": f"SELECT o_orderkey AS key, c_name AS customer_name, c_mktsegment AS customer_segment {withc}",
         "g_reproject_3857": f"SELECT c_custkey, round({mx}, 1) AS x, round({my}, 1) AS y FROM {cust} WHERE abs(lat) < 85",
-        "g_reproject_wkt": f"SELECT c_custkey AS key, CASE WHEN lat > -90 THEN 'POINT(' || {text('x')} || ' ' || {text('y')} || ')' END AS location FROM (SELECT *, round({mx}, 1) AS x, CASE WHEN lat > -90 THEN round({my.replace('lat', 'greatest(lat, -89)')}, 1) END AS y FROM {cust})",
-        "etag_weak": "SELECT sha256(CAST(sum(CAST('0x' || substr(sha256(CAST(to_json({'key': o_orderkey, 'price': o_totalprice}) AS VARCHAR)), 1, 15) AS BIGINT)) AS VARCHAR)) AS etag FROM orders",
+        "g_reproject_wkt": (
+            f"SELECT c_custkey AS key, CASE WHEN lat > -90 THEN 'POINT(' || {text('x')} || ' ' || {text('y')} || ')' END AS location FROM (SELECT "
+            f"*, round({mx}, 1) AS x, CASE WHEN lat > -90 THEN round({my.replace('lat', 'greatest(lat, -89)')}, 1) END AS y FROM {cust})"
+        ),
+        "etag_weak": (
+            "SELECT sha256(CAST(sum(CAST('0x' || substr(sha256(CAST(to_json({'key': o_orderkey, 'price': o_totalprice}) AS VARCHAR)), 1, 15) AS "
+            "BIGINT)) AS VARCHAR)) AS etag FROM orders"
+        ),
         "tile_rowcol": f"SELECT c_custkey, {tile(5)} FROM {cust}",
         "tile_counts": " UNION ALL ".join(f"SELECT {z} AS level, row, col, count(*) AS n FROM (SELECT {tile(z)} FROM {cust}) GROUP BY ALL" for z in range(4)),
         "route_distances": f"{ways} SELECT node, cost FROM d",
-        "route_shortest": f"{ways}, up AS (SELECT 0 AS leg, 9::BIGINT AS node UNION ALL SELECT 1, 75 UNION ALL SELECT leg, node // 2 FROM up WHERE node > (CASE leg WHEN 0 THEN 1 ELSE 9 END)) SELECT leg, CAST(row_number() OVER (PARTITION BY leg ORDER BY up.node) - 1 AS INTEGER) AS seq, up.node, CASE WHEN up.node > (CASE leg WHEN 0 THEN 1 ELSE 9 END) THEN up.node * 2 END AS edge_id, cost - (SELECT cost FROM d AS s WHERE s.node = (CASE leg WHEN 0 THEN 1 ELSE 9 END)) AS cost FROM up JOIN d ON d.node = up.node",
-        "route_nearest": f"SELECT c_custkey AS node, round(sqrt((lon - 12.3) ** 2 + (lat - 45.6) ** 2), 6) AS distance FROM {cust} ORDER BY sqrt((lon - 12.3) ** 2 + (lat - 45.6) ** 2), c_custkey LIMIT 1",
-        "cdc_apply": "WITH c AS (SELECT user_id % 200 + 1 AS k, arg_max(value, event_id) AS v, max(event_id) AS last FROM events GROUP BY 1) SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT k FROM c) UNION ALL SELECT k, v FROM c WHERE last % 5 <> 0",
+        "route_shortest": (
+            f"{ways}, up AS (SELECT 0 AS leg, 9::BIGINT AS node UNION ALL SELECT 1, 75 UNION ALL SELECT leg, node // 2 FROM up WHERE node > (CASE "
+            "leg WHEN 0 THEN 1 ELSE 9 END)) SELECT leg, CAST(row_number() OVER (PARTITION BY leg ORDER BY up.node) - 1 AS INTEGER) AS seq, up.node, "
+            "CASE WHEN up.node > (CASE leg WHEN 0 THEN 1 ELSE 9 END) THEN up.node * 2 END AS edge_id, cost - (SELECT cost FROM d AS s WHERE s.node "
+            "= (CASE leg WHEN 0 THEN 1 ELSE 9 END)) AS cost FROM up JOIN d ON d.node = up.node"
+        ),
+        "route_nearest": (
+            f"SELECT c_custkey AS node, round(sqrt((lon - 12.3) ** 2 + (lat - 45.6) ** 2), 6) AS distance FROM {cust} ORDER BY sqrt((lon - 12.3) "
+            "** 2 + (lat - 45.6) ** 2), c_custkey LIMIT 1"
+        ),
+        "cdc_apply": (
+            "WITH c AS (SELECT user_id % 200 + 1 AS k, arg_max(value, event_id) AS v, max(event_id) AS last FROM events GROUP BY 1) SELECT c_custkey, "
+            "c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT k FROM c) UNION ALL SELECT k, v FROM c WHERE last % 5 <> 0"
+        ),
         "mut_insert": f"{nation} UNION ALL SELECT n_nationkey + 100, 'new ' || n_name, n_regionkey FROM nation WHERE n_nationkey < 5",
         "mut_replace": f"{nation} WHERE n_nationkey >= 5 UNION ALL SELECT n_nationkey, lower(n_name), NULL FROM nation WHERE n_nationkey < 5",
-        "mut_patch": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CASE WHEN n_nationkey < 5 THEN lower(n_name) ELSE n_name END AS n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation",
+        "mut_patch": (
+            "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CASE WHEN n_nationkey < 5 THEN lower(n_name) ELSE n_name END AS n_name, CAST(n_regionkey "
+            "AS BIGINT) AS n_regionkey FROM nation"
+        ),
         "mut_delete": f"{nation} WHERE n_regionkey <> 1",
     }
