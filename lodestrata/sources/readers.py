@@ -43,13 +43,18 @@ def geojson_wkt(c):
     return _geojson_wkt(c)
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str | None = None) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, properties: str | None = None, lines: bool = False) -> DataFrame:
     """id, geometry (WKT) and the properties of a Feature or FeatureCollection, whatever the members' order.
 
-    ``properties`` is a DDL schema; without it the property types are inferred from the values.
+    ``properties`` is a DDL schema; without it the property types are inferred from the values. With
+    ``lines`` each line is a feature (a GeoJSON text sequence), and large files are read by many tasks;
+    a collection is one value, so each of its files is read by one.
     """
-    text = spark.read.text(path, wholetext=True)
-    features = text.select(F.explode(F.coalesce(F.from_json(F.get_json_object("value", "$.features"), "array<string>"), F.array("value"))).alias("f"))
+    if lines:
+        features = spark.read.text(path).select(F.ltrim("value", F.lit("\x1e")).alias("f")).filter("trim(f) != ''")
+    else:
+        text = spark.read.text(path, wholetext=True)
+        features = text.select(F.explode(F.coalesce(F.from_json(F.get_json_object("value", "$.features"), "array<string>"), F.array("value"))).alias("f"))
     rows = features.select(F.get_json_object("f", "$.id").alias("id"), geojson_wkt(F.get_json_object("f", "$.geometry")).alias("geometry"), F.get_json_object("f", "$.properties").alias("p"))
     if properties is None:
         properties = spark.read.json(_strings(rows, "p")).schema
@@ -100,33 +105,25 @@ def gml_geometry(xml: str) -> wkt.Geometry | None:
     return None
 
 
+@F.pandas_udf(T.StringType())
+def _gml_wkt(s: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        g = gml_geometry(f"<g>{text}</g>") if text else None
+        return wkt.to_wkt(g) if g else None
+
+    return s.map(one)
+
+
 def read_gml(spark: SparkSession, path: str, feature: str, schema: str, geometry: str | None = None) -> DataFrame:
     """Features of an XML collection: ``feature`` is the element's name, ``schema`` the DDL of its children, read by Spark's XML source.
 
-    The geometry element is taken from the file's text and becomes WKT.
+    Files are read once and split between features. The source gives the geometry element's inner text, which becomes WKT.
     """
-    rows = spark.read.format("xml").option("rowTag", feature.split(":")[-1]).option("ignoreNamespace", "true").schema(schema).load(path)
-    if not geometry:
-        return rows
-    local = feature.split(":")[-1]
-
-    @F.pandas_udf("array<struct<n:int,id:string,g:string>>")
-    def shapes(s: pd.Series) -> pd.Series:
-        out = []
-        for text in s:
-            found = re.findall(rf"<(?:[\w-]+:)?{local}\b([^>]*)>(.*?)</(?:[\w-]+:)?{local}>", text or "", re.S)
-            own = []
-            for i, (attributes, body) in enumerate(found):
-                m = re.search(rf"<(?:[\w-]+:)?{geometry}\b[^>]*>(.*?)</(?:[\w-]+:)?{geometry}>", body, re.S)
-                g = gml_geometry(m[1]) if m else None
-                name = re.search(r"(?:[\w-]+:)?(?:id|fid)=[\"']([^\"']*)", attributes)
-                own.append({"n": i, "id": name[1] if name else None, "g": wkt.to_wkt(g) if g else None})
-            out.append(own)
-        return pd.Series(out)
-
-    texts = spark.read.text(path, wholetext=True).select(F.inline(shapes("value"))).withColumnRenamed("id", "_gml_id").withColumnRenamed("g", geometry)
-    keyed = rows.withColumnRenamed("_id", "_gml_id") if "_id" in rows.columns else rows
-    return keyed.drop(geometry).join(texts.drop("n"), "_gml_id", "left")
+    own = T.StructType.fromDDL(schema)
+    if geometry and geometry not in own.names:
+        own = own.add(geometry, "string")
+    rows = spark.read.format("xml").option("rowTag", feature.split(":")[-1]).option("ignoreNamespace", "true").schema(own).load(path)
+    return rows.withColumn(geometry, _gml_wkt(geometry)) if geometry else rows
 
 
 def wfs_query(type_name: str, limit: int | None = None, offset: int = 0, hits: bool = False, filter_xml: str | None = None, version: str = "2.0.0") -> str:

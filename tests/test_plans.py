@@ -443,3 +443,15 @@ def test_intersection_in_space():
     ):
         assert meet(roof, other) is want and meet(other, roof) is want, other
     assert meet("LINESTRING Z(0 0 0,2 2 2)", "LINESTRING Z(0 2 2,2 0 0)") and not meet("LINESTRING Z(0 0 0,2 2 0)", "LINESTRING Z(0 2 1,2 0 1)")
+
+
+def test_features_of_lines_and_of_xml(spark, tmp_path):
+    from lodestrata.sources import readers
+
+    (tmp_path / "s.geojsonl").write_text('\x1e{"type": "Feature", "id": 1, "geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {"a": 5}}\n\n{"type": "Feature", "id": 2, "geometry": null, "properties": {"a": null}}\n')
+    assert [tuple(r) for r in readers.read_geojson(spark, str(tmp_path / "s.geojsonl"), "a int", lines=True).collect()] == [("1", "POINT(1 2)", 5), ("2", None, None)]
+    member = '<m><s:Order gml:id="o.{0}"><s:n>{0}</s:n>{1}</s:Order></m>'
+    shapes = ("<s:geom><gml:Point><gml:pos>1 2</gml:pos></gml:Point></s:geom>", "", "<s:geom><gml:LineString><gml:posList>1 2 3 4</gml:posList></gml:LineString></s:geom>")
+    (tmp_path / "c.xml").write_text('<c xmlns:gml="g" xmlns:s="s">' + "".join(member.format(i, g) for i, g in enumerate(shapes)) + "</c>")
+    rows = readers.read_gml(spark, str(tmp_path / "c.xml"), "s:Order", "_id string, n int", "geom").collect()
+    assert [tuple(r) for r in rows] == [("o.0", 0, "POINT(1 2)"), ("o.1", 1, None), ("o.2", 2, "LINESTRING(1 2,3 4)")]
