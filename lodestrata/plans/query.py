@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata import scratch
 from lodestrata.cql.ast import and_
 from lodestrata.cql.json_format import from_json
 from lodestrata.cql.text import parse
@@ -126,6 +127,13 @@ class Provider:
             df = df.offset(q.offset)
         return df.limit(q.limit) if q.limit is not None else df
 
+    def chosen(self, t: FeatureType, q: FeatureQuery) -> DataFrame:
+        """:meth:`page`, written down once where related properties of ``t`` would each plan and scan it again."""
+        page = self.page(q)
+        if q.limit is not None and q.limit <= TOP_ROWS and any(x.steps for x in t.leaves()) and scratch.usable(self.spark):
+            return scratch.written(page, "page")
+        return page
+
     # --- results -------------------------------------------------------------------------
 
     def query(self, q: FeatureQuery) -> DataFrame:
@@ -143,7 +151,7 @@ class Provider:
         t = self.types[q.type]
         if t.concat:
             return self.multi([replace(q, limit=None, offset=0, type=x.name) for x in self.union_types(t)], q.limit, q.offset)
-        return self.assemble(self.projected(t, q), self.page(q), q)
+        return self.assemble(shown := self.projected(t, q), self.chosen(shown, q), q)
 
     def union_types(self, t: FeatureType) -> list[FeatureType]:
         """The types of a root union, registered under names of their own."""
@@ -161,7 +169,7 @@ class Provider:
             t = self.types[q.type]
             if limit is not None:  # no sub-query can give more rows than the whole
                 q = replace(q, limit=min(limit + offset, limit + offset if q.limit is None else q.limit))
-            one = self.assemble(self.projected(t, q), self.page(q), q, keep=f"_s{i}_")
+            one = self.assemble(shown := self.projected(t, q), self.chosen(shown, q), q, keep=f"_s{i}_")
             order += [ordered(F.col(f"_s{i}_{k}"), down) for k, (_, down) in enumerate(self.sort_values(t, q.sort_keys))]
             parts.append(one.withColumn("_ordinal", F.lit(i)))
         out = parts[0]
@@ -358,7 +366,7 @@ class Provider:
         the hashes are added up, in any number of tasks, and the keys hashed with them.
         """
         t = self.types[q.type]
-        features = self.assemble(self.projected(t, q), self.page(q), q, keep="_s0_")
+        features = self.assemble(shown := self.projected(t, q), self.chosen(shown, q), q, keep="_s0_")
         sort = [ordered(F.col(f"_s0_{k}"), down) for k, (_, down) in enumerate(self.sort_values(t, q.sort_keys))]
         own = F.sha2(F.to_json(F.struct(*(c for c in features.columns if not c.startswith("_s0_")))), 256)
         if q.limit is None:

@@ -20,6 +20,11 @@ def folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def usable(spark: SparkSession) -> bool:
+    """Whether there is such a folder."""
+    return bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.sparkContext.master.startswith("local"))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

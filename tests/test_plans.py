@@ -71,6 +71,12 @@ def test_no_sort_and_no_needless_join(provider):
         assert "Expand" not in text and "distinct" not in text.lower()
 
 
+def test_a_page_is_chosen_once(provider):
+    """Related properties join the page as it was written: no second scan, filter and top-k of the main table."""
+    text = plan(provider.query(FeatureQuery("orders", ("price > 1000",), sort_keys=("-price",), fields=("key", "items", "flags", "customer"), limit=5)))
+    assert "o_totalprice" in text and "orders.parquet" not in text and "page-" in text
+
+
 def test_etags_follow_the_order(provider):
     tag = lambda **q: provider.etag(FeatureQuery("orders", fields=("key",), **q)).first().etag
     # The same features in another order: a page of all of them.
