@@ -364,6 +364,19 @@ def _tile_box(spark, d):
     return tiles.tile_boxes(b, g, 3, "lon", "lat", "x1", "y1").groupBy("row", "col").agg(F.count("*").alias("n"))
 
 
+def _with_children(f) -> Query:
+    """Lines of each order after a mutation of the orders of one status, with their lines."""
+
+    def run(spark, d):
+        read = tables(spark, d)
+        features = provider(spark, d).query(FeatureQuery("orders", ("status = 'P'",), fields=("key", "status", "items")))
+        out = f({"orders": read("orders"), "lineitem": read("lineitem")}, features)
+        lines = out["lineitem"].groupBy(F.col("l_orderkey").alias("key")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+        return out["orders"].select(F.col("o_orderkey").alias("key")).join(lines, "key", "full")
+
+    return run
+
+
 def _refined(spark, d):
     """Tiles that a diagonal line at each customer's place meets."""
     g = tiles.GRIDS["WorldCRS84Quad"]
@@ -508,6 +521,9 @@ def queries() -> dict[str, Query]:
         "mut_replace": _mutated(lambda t, n: mutations.replace(t, _MUTABLE, _changed_nations(n))),
         "mut_patch": _mutated(lambda t, n: mutations.patch(t, _MUTABLE, _changed_nations(n))),
         "mut_delete": _mutated(lambda t, n: mutations.delete(t, _MUTABLE, n.filter("n_regionkey = 1").select(F.col("n_nationkey").alias("id")))),
+        "mut_insert_children": _with_children(lambda t, f: mutations.insert(t, ORDERS, f.withColumn("key", F.col("key") + 100_000_000))),
+        "mut_delete_children": _with_children(lambda t, f: mutations.delete(t, ORDERS, f.select(F.col("key").alias("id")))),
+        "mut_replace_children": _with_children(lambda t, f: mutations.replace(t, ORDERS, f.withColumn("items", F.slice("items", 1, 1)))),
         "schema_crawl": lambda s, d: s.createDataFrame([(t.name, x.name, x.property.type) for t in crawl(tables(s, d), TABLES).values() for x in t.leaves()],
             "type_name string, property string, kind string"),
     }
@@ -572,6 +588,7 @@ def oracle_sql() -> dict[str, str]:
     columns = ", ".join(("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"))
     numbered = f"SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY {columns}) AS n FROM lineitem"
     names = ", ".join(f"'{t}'" for t in TABLES)
+    by_order = "SELECT o_orderkey AS key, n, quantity FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"
     return out | {
         "p_fields": "SELECT o_orderkey AS key, o_orderstatus AS status, c_name AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
         "p_scope": "SELECT 'key,line,square' AS columns, c_custkey AS key FROM customer",
@@ -611,6 +628,12 @@ def oracle_sql() -> dict[str, str]:
         "number_skipped": "SELECT 0::BIGINT AS number_returned, count(*) AS number_skipped FROM orders WHERE o_orderstatus = 'O'",
         "stat_temporal_two_tables": 'SELECT min(o_orderdate) AS "start", (SELECT max(l_shipdate) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS "end" FROM orders',
         "stat_spatial_extent_3d": f"SELECT min(lon) AS xmin, min(lat) AS ymin, min(c_acctbal) AS zmin, max(lon) AS xmax, max(lat) AS ymax, max(c_acctbal) AS zmax FROM {cust}",
+        "mut_insert_children": f"{by_order} UNION ALL SELECT key + 100000000, n, quantity FROM ({by_order}) JOIN orders ON o_orderkey = key WHERE o_orderstatus = 'P'",
+        "mut_delete_children": f"SELECT b.* FROM ({by_order}) b JOIN orders ON o_orderkey = key WHERE o_orderstatus <> 'P'",
+        "mut_replace_children": (
+            f"SELECT b.* FROM ({by_order}) b JOIN orders ON o_orderkey = key WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, CASE WHEN n > 0 THEN 1 END, first FROM orders LEFT JOIN "
+            "(SELECT l_orderkey, count(*) AS n, arg_min(l_quantity, (l_linenumber, l_quantity)) AS first FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'"
+        ),
         "mut_stats": 'SELECT count(*) AS n_features, min(o_orderdate) AS "first", max(o_orderdate) AS "last" FROM orders WHERE o_orderstatus = \'O\'',
         "schema_crawl": f"""SELECT table_name AS type_name, column_name AS property, CASE WHEN data_type LIKE '%[]' THEN 'VALUE_ARRAY' WHEN data_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT') THEN 'INTEGER'
             WHEN data_type IN ('FLOAT', 'DOUBLE') OR data_type LIKE 'DECIMAL%' THEN 'FLOAT' WHEN data_type = 'VARCHAR' THEN 'STRING' WHEN data_type = 'BOOLEAN' THEN 'BOOLEAN' WHEN data_type = 'DATE' THEN 'DATE' ELSE 'DATETIME' END AS kind

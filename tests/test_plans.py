@@ -461,3 +461,19 @@ def test_features_of_lines_and_of_xml(spark, tmp_path):
     (tmp_path / "c.xml").write_text('<c xmlns:gml="g" xmlns:s="s">' + "".join(member.format(i, g) for i, g in enumerate(shapes)) + "</c>")
     rows = readers.read_gml(spark, str(tmp_path / "c.xml"), "s:Order", "_id string, n int", "geom").collect()
     assert [tuple(r) for r in rows] == [("o.0", 0, "POINT(1 2)"), ("o.1", 1, None), ("o.2", 2, "LINESTRING(1 2,3 4)")]
+
+
+def test_tables_of_a_database(spark):
+    """Through JDBC, whole and in parts, with the comparison pushed down to the database."""
+    from lodestrata.sources import readers
+
+    url, driver = "jdbc:derby:memory:lodestrata;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(100).selectExpr("CAST(id AS INT) AS id", "concat('n', id % 7) AS name")
+    rows.write.format("jdbc").options(url=url, dbtable="things", driver=driver).mode("overwrite").save()
+    whole = readers.jdbc_tables(spark, url, driver=driver)("things")
+    parts = readers.jdbc_tables(spark, url, partition=("id", 0, 100, 4), driver=driver)("things")
+    assert whole.count() == parts.count() == 100
+    assert parts.rdd.getNumPartitions() == 4
+    few = whole.filter("id < 10")
+    assert few.count() == 10 and "PushedFilters: [*IsNotNull(ID), *LessThan(ID,10)]" in plan(few).replace("id", "ID")
+    assert readers.crawl(lambda n: whole, ["things"])["things"].leaf("id").property.type == "INTEGER"
