@@ -377,6 +377,14 @@ def _with_children(f) -> Query:
     return run
 
 
+def _join_types(spark, d):
+    """Brands of an order's parts over a given size; the other lines count where the join keeps them."""
+    path = "[o_orderkey=l_orderkey]lineitem/[l_partkey=p_partkey]part{{joinType={how}}}{{filter=p_size > 25}}/[EXPRESSION]{{sql=coalesce(p_brand, 'none')}}"
+    own = [{"name": how.lower(), "type": "VALUE_ARRAY", "value_type": "STRING", "source_path": path.format(how=how)} for how in ("INNER", "LEFT", "RIGHT", "FULL")]
+    df = _transformed(spark, d, [_KEY, *own], "*")
+    return df.select("key", *(F.size(c).cast("long").alias(c) for c in ("inner", "left", "right", "full")))
+
+
 def _refined(spark, d):
     """Tiles that a diagonal line at each customer's place meets."""
     g = tiles.GRIDS["WorldCRS84Quad"]
@@ -503,6 +511,7 @@ def queries() -> dict[str, Query]:
         "tile_boxes": _tile_box,
         "tile_features": _tile_set,
         "tile_refined": _refined,
+        "j_join_types": _join_types,
         "source_validation": _validated,
         "ud_sql_predicate": _sql_predicate,
         "geojson_out": lambda s, d: tables(s, d)("customer_geo").select(F.col("c_custkey").alias("key"), G.geojson(G.point_wkt(F.col("lon"), F.col("lat"))).alias("geojson")),
@@ -655,6 +664,10 @@ def oracle_sql() -> dict[str, str]:
         "ud_sql_predicate": f"SELECT c_custkey AS key FROM {shape} WHERE lon <= 60 AND lon + 10 >= -10 AND y BETWEEN -20 AND 45",
         "geojson_out": f"""SELECT c_custkey AS key, '{{"type": "Point", "coordinates": [' || lon || ', ' || lat || ']}}' AS geojson FROM {cust}""",
         "x_object_remove": f"SELECT o_orderkey AS key, CASE WHEN c_acctbal > 0 THEN c_name END AS customer_name {withc}",
+        "j_join_types": (
+            'SELECT o_orderkey AS key, count(p_partkey) AS "inner", count(l_orderkey) AS "left", count(p_partkey) AS "right", count(l_orderkey) AS "full" '
+            "FROM orders LEFT JOIN (lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 25) ON l_orderkey = o_orderkey GROUP BY 1"
+        ),
         "x_wrap_object": x("o_orderstatus"),
         "x_assign_to": x("o_orderstatus || '-' || lower(o_orderstatus) || '/' || lower(o_orderstatus)"),
         "tile_coverage": (
