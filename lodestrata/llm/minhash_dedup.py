@@ -50,7 +50,7 @@ MOST_BANDS = PERMUTATIONS // BAND_ROWS
 LINK_PERCENT, ESTIMATE_SLACK = 85, 0.15
 WORDS = 5
 #: Members of one head that one task confirms; members and shingles of a block of a bucket.
-CHUNK, BLOCK, BLOCK_SHINGLES = 64, 512, 1 << 20
+CHUNK, BLOCK, BLOCK_SHINGLES = 64, 1024, 1 << 20
 
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 32, (3, PERMUTATIONS), np.uint32) | np.uint32(1)
 _GRAM = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(64)]
