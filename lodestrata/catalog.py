@@ -388,7 +388,9 @@ def _join_types(spark, d):
 def _refined(spark, d):
     """Tiles that a diagonal line at each customer's place meets."""
     g = tiles.GRIDS["WorldCRS84Quad"]
-    c = tables(spark, d)("customer_shape").withColumn("x1", F.col("lon") + 10).withColumn("y1", F.round(F.col("y") + 10, 1))
+    c = tables(spark, d)("customer_shape").select("c_custkey", "lon", "y")
+    c = c.repartition(2 * spark.sparkContext.defaultParallelism, "c_custkey")  # a small file is read by one task, and its few bytes would stay in one
+    c = c.withColumn("x1", F.col("lon") + 10).withColumn("y1", F.round(F.col("y") + 10, 1))
     c = c.withColumn("diagonal", F.concat(F.lit("LINESTRING("), F.concat_ws(",", F.concat_ws(" ", "lon", "y"), F.concat_ws(" ", "x1", "y1")), F.lit(")")))
     return tiles.refine(tiles.tile_boxes(c.filter("x1 <= 180"), g, 5, "lon", "y", "x1", "y1"), g, "diagonal").select("c_custkey", "row", "col")
 

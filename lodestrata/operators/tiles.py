@@ -6,6 +6,7 @@ import math
 import struct
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,17 +111,76 @@ def refine(tiled: DataFrame, grid: Grid, geometry: str = "geometry") -> DataFram
 
     @F.pandas_udf("boolean")
     def meets(level: pd.Series, row: pd.Series, col: pd.Series, g: pd.Series) -> pd.Series:
-        def one(z: int, r: int, c: int, text: str | None) -> bool:
-            if text is None:
-                return False
-            w, s, e, n = grid.tile_box(z, r, c)
-            return predicates.evaluate("s_intersects", G.flat(wkt.parsed(text)), ("Polygon", [[[w, s], [e, s], [e, n], [w, n], [w, s]]]))
-
-        return pd.Series([one(*x) for x in zip(level, row, col, g, strict=True)], dtype="boolean")
+        return pd.Series(meeting(grid, level.to_numpy(), row.to_numpy(), col.to_numpy(), g), dtype="boolean")
 
     return tiled.filter(meets("level", "row", "col", geometry))
 
 
+#: Within this part of a coordinate's size of a tile's edge, the exact predicate decides.
+NEAR = 1e-6
+#: Pairs of a tile and a segment in memory at once, or those of one row.
+PAIRS = 1 << 18
+
+
+def _segments(g: wkt.Geometry) -> tuple[list, list, bool]:
+    """Ends of the segments (a point is one without length), polygons, and whether a ring is open."""
+    points, lines, polygons = predicates._parts(g)
+    rings = [r for p in polygons for r in p]
+    out = [(*p, *p) for p in points]
+    out += [(*a, *b) for x in (*lines, *rings) for a, b in zip(x, x[1:], strict=False)]
+    return out, polygons, any(not r or r[0] != r[-1] for r in rings)
+
+
+def meeting(grid: Grid, level: np.ndarray, row: np.ndarray, col: np.ndarray, texts: pd.Series) -> np.ndarray:
+    """Whether each geometry meets its tile; a null or empty one meets none.
+
+    A segment with an end in the tile, or one through its inside, meets it; one that an axis or its own normal parts
+    from the tile does not. That is decided for whole arrays; only what comes close to an edge takes the exact predicate.
+    """
+    out = np.zeros(len(texts), bool)
+    codes, distinct = pd.factorize(np.asarray(texts, dtype=object))
+    shapes = [G.flat(wkt.parsed(t)) for t in distinct]
+    cut = [_segments(g) for g in shapes]
+    counts = np.array([len(c[0]) for c in cut], np.int64)
+    segments = np.array([x for c in cut for x in c[0]], np.float64).reshape(-1, 4)
+    starts = np.cumsum(counts) - counts
+    kept = np.flatnonzero(codes >= 0)
+    kept = kept[counts[codes[kept]] > 0] if len(kept) else kept
+    if not len(kept):
+        return out
+    boxes = np.empty((len(texts), 4))
+    for z in np.unique(level):
+        at = level == z
+        boxes[at] = np.column_stack(grid.tile_box(int(z), row[at].astype(np.int64), col[at].astype(np.int64)))
+    part = np.cumsum(counts[codes[kept]]) // PAIRS
+    for rows in np.split(kept, np.flatnonzero(np.diff(part)) + 1):
+        n = counts[codes[rows]]
+        r = np.repeat(np.arange(len(rows)), n)
+        ax, ay, bx, by = segments[np.repeat(starts[codes[rows]] - (np.cumsum(n) - n), n) + np.arange(len(r))].T
+        w, s, e, north = boxes[rows[r]].T
+        with np.errstate(invalid="ignore", over="ignore"):
+            d = NEAR * np.maximum.reduce([np.ones(len(r)), *map(np.abs, (w, s, e, north, ax, ay, bx, by))])
+            x0, x1, y0, y1 = np.minimum(ax, bx), np.maximum(ax, bx), np.minimum(ay, by), np.maximum(ay, by)
+            nx, ny, hx, hy = ay - by, bx - ax, (e - w) / 2, (north - s) / 2
+            away = np.abs(nx * ((w + e) / 2 - ax) + ny * ((s + north) / 2 - ay))
+            reach, margin = np.abs(nx) * hx + np.abs(ny) * hy, d * np.hypot(nx, ny)
+            near = ~((x1 < w - d) | (x0 > e + d) | (y1 < s - d) | (y0 > north + d) | (away > reach + margin))
+            meet = (ax >= w) & (ax <= e) & (ay >= s) & (ay <= north) | (bx >= w) & (bx <= e) & (by >= s) & (by <= north)
+            small = reach - d * (np.abs(nx) + np.abs(ny))
+            meet |= (hx > d) & (hy > d) & (x1 >= w + d) & (x0 <= e - d) & (y1 >= s + d) & (y0 <= north - d) & (away <= small)
+        sure, close = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+        sure[r[meet]], close[r[near]] = True, True
+        out[rows[sure]] = True
+        for i, is_close in zip(rows[~sure], close[~sure], strict=True):
+            shape, (_, polygons, is_open) = shapes[codes[i]], cut[codes[i]]
+            if is_open or is_close:
+                w, s, e, north = map(float, boxes[i])
+                out[i] = predicates.evaluate("s_intersects", shape, ("Polygon", [[[w, s], [e, s], [e, north], [w, north], [w, s]]]))
+            else:  # no edge is close: the tile lies in a polygon or outside of all
+                out[i] = any(predicates._in_polygon(tuple(map(float, boxes[i][:2])), p) != predicates.OUT for p in polygons)
+    return out
+
+
 # --- geometry of one tile ------------------------------------------------------------------
 
 
