@@ -53,17 +53,31 @@ def insert(tables: dict[str, DataFrame], t: FeatureType, features: DataFrame) ->
 def delete(tables: dict[str, DataFrame], t: FeatureType, ids: DataFrame, cascade: bool = True) -> dict[str, DataFrame]:
     """Without the features whose id is in ``ids`` (column ``id``), and without their child and junction rows."""
     out, main = dict(tables), tables[t.main.table]
-    gone = main.join(ids.select(F.col("id").alias("_id")), main[t.key] == F.col("_id"), "left_semi")
+    keys = ids.select(F.col("id").alias("_id"))
+    links = {}  # properties that follow the same relation share its join
     for p in t.properties if cascade else ():
         path = parse_path(p.source_path)
         if path.steps and p.type.endswith("ARRAY"):
-            step = path.steps[0]
-            links = gone.select(F.col(step.source).alias("_link"))
-            out[step.table] = out[step.table].join(links, out[step.table][step.target] == F.col("_link"), "left_anti")
-    out[t.main.table] = main.join(ids.select(F.col("id").alias("_id")), main[t.key] == F.col("_id"), "left_anti")
+            links[path.steps[0].table, path.steps[0].target, path.steps[0].source] = None
+    gone = _matched(main, t.key, keys, "left_semi") if links else None
+    for table, target, source in links:
+        out[table] = _matched(out[table], target, gone.select(F.col(source).alias("_link")), "left_anti")
+    out[t.main.table] = _matched(main, t.key, keys, "left_anti")
     return out
 
 
+def _matched(df: DataFrame, column: str, keys: DataFrame, how: str) -> DataFrame:
+    """The rows with or without their ``column`` in ``keys``, a table of one column.
+
+    Keys too many to broadcast are hashed, once each, in every task, and the rows pass by: a sort-merge join would keep
+    both in the task's memory to sort them.
+    """
+    plan = keys._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) > df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+        keys = keys.hint("shuffle_hash")
+    return df.join(keys, df[column] == keys[keys.columns[0]], how)
+
+
 def replace(tables: dict[str, DataFrame], t: FeatureType, features: DataFrame) -> dict[str, DataFrame]:
     ids = features.select(F.col(t.with_role("ID").name).alias("id"))
     return insert(delete(tables, t, ids), t, features)

@@ -3,11 +3,12 @@
 import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from lodestrata import catalog
 from lodestrata.functions import geometry as G
 from lodestrata.functions import predicates, wkt
-from lodestrata.operators import tiles
+from lodestrata.operators import mutations, tiles
 
 SF = "/root/testdata/sf0.001"
 GRID = tiles.GRIDS["WorldCRS84Quad"]
@@ -57,3 +58,38 @@ def test_the_exact_predicate_is_left_to_what_is_close_to_an_edge(monkeypatch):
 
 def test_refined_tiles_are_spread_over_the_cores(spark):
     assert catalog.queries()["tile_refined"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def _deleted(spark, ids):
+    """Orders and their lines, of which some are orphans, without the given orders."""
+    orders = spark.createDataFrame([(k, "P") for k in (1, 2, 3)], "o_orderkey long, o_orderstatus string")
+    lines = spark.createDataFrame([(k, n) for k in (1, 2, 3, 8, 9, None) for n in (1, 2)], "l_orderkey long, l_linenumber int")
+    return mutations.delete({"orders": orders, "lineitem": lines}, catalog.ORDERS, spark.createDataFrame([(i,) for i in ids], "id long"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_properties_of_one_relation_are_deleted_by_one_join(spark):
+    out = _deleted(spark, [2, 2, 9, None])
+    assert sorted(r[0] for r in out["orders"].collect()) == [1, 3]
+    left = [r[0] for r in out["lineitem"].collect()]  # lines of an order that is not there, and those without one, stay
+    assert sorted(k for k in left if k is not None) == [1, 1, 3, 3, 8, 8, 9, 9] and left.count(None) == 2
+    assert _plan(out["lineitem"]).count("LeftAnti") == 1
+
+
+def test_many_deleted_keys_are_hashed_and_few_are_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    ids = spark.read.parquet(f"{SF}/orders.parquet").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"))
+    tables = {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in ("orders", "lineitem")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        many = mutations.delete(tables, catalog.ORDERS, ids)["lineitem"]
+        assert "SortMergeJoin" not in _plan(many) and "ShuffledHashJoin" in _plan(many)
+        n = many.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    few = mutations.delete(tables, catalog.ORDERS, ids)["lineitem"]
+    assert "BroadcastHashJoin" in _plan(few) and "ShuffledHashJoin" not in _plan(few)
+    assert few.count() == n == tables["lineitem"].filter("l_orderkey % 3 <> 0").count()
