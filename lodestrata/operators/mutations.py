@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.plans.filters import matched
 from lodestrata.schema.model import FeatureType
 from lodestrata.schema.source_path import parse_path
 
@@ -59,25 +60,13 @@ def delete(tables: dict[str, DataFrame], t: FeatureType, ids: DataFrame, cascade
         path = parse_path(p.source_path)
         if path.steps and p.type.endswith("ARRAY"):
             links[path.steps[0].table, path.steps[0].target, path.steps[0].source] = None
-    gone = _matched(main, t.key, keys, "left_semi") if links else None
+    gone = matched(main, t.key, keys, "left_semi") if links else None
     for table, target, source in links:
-        out[table] = _matched(out[table], target, gone.select(F.col(source).alias("_link")), "left_anti")
-    out[t.main.table] = _matched(main, t.key, keys, "left_anti")
+        out[table] = matched(out[table], target, gone.select(F.col(source).alias("_link")), "left_anti")
+    out[t.main.table] = matched(main, t.key, keys, "left_anti")
     return out
 
 
-def _matched(df: DataFrame, column: str, keys: DataFrame, how: str) -> DataFrame:
-    """The rows with or without their ``column`` in ``keys``, a table of one column.
-
-    Keys too many to broadcast are hashed, once each, in every task, and the rows pass by: a sort-merge join would keep
-    both in the task's memory to sort them.
-    """
-    plan = keys._jdf.queryExecution().optimizedPlan()
-    if int(str(plan.stats().sizeInBytes())) > df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
-        keys = keys.hint("shuffle_hash")
-    return df.join(keys, df[column] == keys[keys.columns[0]], how)
-
-
 def replace(tables: dict[str, DataFrame], t: FeatureType, features: DataFrame) -> dict[str, DataFrame]:
     ids = features.select(F.col(t.with_role("ID").name).alias("id"))
     return insert(delete(tables, t, ids), t, features)

@@ -52,6 +52,18 @@ def table(tables: Tables, step: Step) -> DataFrame:
     return df
 
 
+def matched(df: DataFrame, column: str, keys: DataFrame, how: str) -> DataFrame:
+    """The rows with or without their ``column`` in ``keys``, a table of one column.
+
+    Keys too many to broadcast are hashed, once each, in every task, and the rows pass by: a sort-merge join would keep
+    both in the task's memory to sort them.
+    """
+    plan = keys._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) > df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+        keys = keys.hint("shuffle_hash")
+    return df.join(keys, df[column] == keys[keys.columns[0]], how)
+
+
 def json_values(c: Column, path: tuple[str, ...], kind: str) -> Column:
     """All values below a JSON path with arrays (steps that end in ``[*]``), one after another, without nulls."""
 

@@ -23,7 +23,7 @@ from lodestrata.cql.text import parse
 from lodestrata.functions import crs as C
 from lodestrata.functions import geometry as G
 from lodestrata.functions.transformations import apply_value, remove_empty, transform_structure
-from lodestrata.plans.filters import FilterPlan, Tables, leaf_column, table
+from lodestrata.plans.filters import FilterPlan, Tables, leaf_column, matched, table
 from lodestrata.schema.model import FeatureType, Leaf, Property
 from lodestrata.schema.source_path import Step, parse_path
 
@@ -253,7 +253,7 @@ class Provider:
         first = table(self.tables, steps[0])
         links = page.select(F.col(steps[0].source).alias("_link"))
         if q.limit is not None or q.filters:  # the related rows of other features are never grouped
-            first = first.join(links, first[steps[0].target] == links["_link"], "left_semi")
+            first = matched(first, steps[0].target, links, "left_semi")
         rows = first.withColumn("_k", F.col(steps[0].target))
         for step in steps[1:]:
             nxt = table(self.tables, step)

@@ -93,3 +93,18 @@ def test_many_deleted_keys_are_hashed_and_few_are_broadcast(spark):
     few = mutations.delete(tables, catalog.ORDERS, ids)["lineitem"]
     assert "BroadcastHashJoin" in _plan(few) and "ShuffledHashJoin" not in _plan(few)
     assert few.count() == n == tables["lineitem"].filter("l_orderkey % 3 <> 0").count()
+
+
+def test_links_of_a_filter_are_hashed_where_they_are_many(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    query = catalog.queries()["mut_replace_children"]
+    want = sorted(map(tuple, query(spark, SF).collect()), key=str)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = query(spark, SF)
+        plan = _plan(df)
+        assert not [x for x in plan.splitlines() if "SortMergeJoin" in x and ("LeftSemi" in x or "LeftAnti" in x)]
+        assert plan.count("LeftAnti") == 2 and plan.count("LeftSemi") == 2  # orders and lines; orders that go, lines of the features
+        assert sorted(map(tuple, df.collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
